@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, mixing, packing, quality, simhash, urls
+from . import gif, hilbert, licenses, mixing, packing, pii, quality, simhash, urls, warc
 from .common import read_table, utf8, word_count  # noqa: F401
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -99,5 +99,51 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select(*names)
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op5_best_fit_packing, op6_quality_rules, op8_mixing, op9_hilbert_shards, op10_simhash)}
-SQL = {"op3_url_filter": op3_sql, "op8_mixing": op8_sql}
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.archive(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+def op1_sql() -> str:
+    base32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    chars = " || ".join(f"substr('{base32}', (((('0x' || substr(sha, {5 * i + 1}, 5))::BIGINT >> {shift}) & 31) + 1)::INT, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS sha FROM p),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS top FROM d)
+SELECT page_id, payload_bytes, {chars} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to, NULL::VARCHAR AS error
+FROM t"""
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_sql() -> str:
+    notices = ", ".join("(" + _sql_strings(t) + ")" for t in licenses.TEMPLATES)
+    words = "list_filter(list_transform(regexp_split_to_array(lower({}), '[\\x20\\x09-\\x0D]+'), lambda w: regexp_replace(w, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), lambda w: w <> '')"
+    return f"""
+WITH t AS (SELECT license, {words.format("notice")} AS w FROM (VALUES {notices}) v(license, notice)),
+ts AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS s FROM t, range(1, len(w) - 3) r(i)),
+n AS (SELECT license, count(*)::BIGINT AS n_shingles FROM ts GROUP BY license),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+ds AS (SELECT rid, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+m AS (SELECT rid, license, count(DISTINCT s)::BIGINT AS n_matched, min(pos)::BIGINT AS first_word, max(pos)::BIGINT + 5 AS end_word FROM ds JOIN ts USING (s) GROUP BY rid, license)
+SELECT doc_id, license, n_matched / n_shingles AS containment, n_matched, n_shingles, first_word, end_word
+FROM m JOIN n USING (license) JOIN d USING (rid) WHERE n_matched / n_shingles >= {licenses.LicensePolicy().min_containment}"""
+
+
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = gif.media_digest(gif.encode_texts(docs))
+    return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scan, op3_url_filter, op4_gif_media, op5_best_fit_packing, op6_quality_rules, op7_pii, op8_mixing, op9_hilbert_shards, op10_simhash)}
+SQL = {"op1_warc": op1_sql, "op2_license_scan": op2_sql, "op3_url_filter": op3_sql, "op8_mixing": op8_sql}
