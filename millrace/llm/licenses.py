@@ -71,10 +71,19 @@ def word_array(text: Column) -> Column:
     return F.filter(F.transform(words, lambda w: F.regexp_replace(w, "^[^a-z0-9]+|[^a-z0-9]+$", "")), lambda w: w != "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once: as a lambda's variable, not as an expression in each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shingle_array(words: Column) -> Column:
     """The shingles in order, repeats included; none for fewer words."""
-    last = F.size(words) - (WIDTH - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, WIDTH), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (WIDTH - 1), F.lit(1)))
+        return F.when(F.size(w) >= WIDTH, F.transform(starts, lambda i: F.array_join(F.slice(w, i, WIDTH), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, cut)
 
 
 def anchors(policy: LicensePolicy) -> list[str]:
@@ -99,14 +108,18 @@ def window_size(n: int) -> int:
 def band_keys(shingles: Column, size: int, step: int) -> Column:
     """Keys of the bands of all windows of so many shingles; the last window ends with the text."""
     n_bands = BANDS if size >= WIDTH else 1
-    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    starts = F.when(F.size(shingles) >= size, F.array_union(F.sequence(F.lit(1), F.greatest(F.size(shingles) - size + 1, F.lit(1)), F.lit(step)), F.array(F.size(shingles) - size + 1))).otherwise(F.array().cast("array<int>"))
+    seeds = F.sequence(F.lit(0), F.lit(n_bands * MINIMA - 1))
 
     def keys(window: Column) -> Column:
-        least = [F.array_min(F.transform(window, lambda h, j=j: F.xxhash64(h, F.lit(j)))) for j in range(n_bands * MINIMA)]
-        return F.array(*(F.xxhash64(F.lit(size), F.lit(b), *least[b * MINIMA : (b + 1) * MINIMA]) for b in range(n_bands)))
+        minima = F.transform(seeds, lambda j: F.array_min(F.transform(window, lambda h: F.xxhash64(h, j))))
+        return let(minima, lambda m: F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.xxhash64(F.lit(size), b, *(F.get(m, b * MINIMA + k) for k in range(MINIMA)))))
 
-    return F.flatten(F.transform(starts, lambda i: keys(F.slice(hashes, i, size))))
+    def windows(hashes: Column) -> Column:
+        last = F.greatest(F.size(hashes) - size + 1, F.lit(1))
+        starts = F.array_union(F.sequence(F.lit(1), last, F.lit(step)), F.array(last))
+        return F.when(F.size(hashes) >= size, F.transform(starts, lambda i: F.slice(hashes, i, size))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    return let(F.transform(shingles, lambda s: F.xxhash64(s)), lambda h: F.flatten(F.transform(windows(h), keys)))
 
 
 def find_licenses(df: DataFrame, policy: LicensePolicy = LicensePolicy(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,10 +137,16 @@ def find_licenses(df: DataFrame, policy: LicensePolicy = LicensePolicy(), doc_id
     words = df.where(anchored).select(F.col(f"`{doc_id}`").alias("doc_id"), word_array(F.col(f"`{text}`")).alias("words"), F.monotonically_increasing_id().alias("row"))
     words = materialize(words)
     shingles = words.select("row", shingle_array(F.col("words")).alias("s"))
-    keys = F.array_distinct(F.concat(*(band_keys(F.col("s"), s, max(1, s // 4)) for s in sizes)))
+    keys = let(F.col("s"), lambda v: F.array_distinct(F.concat(*(band_keys(v, s, max(1, s // 4)) for s in sizes))))
     found = shingles.select("row", F.explode(keys).alias("key")).join(F.broadcast(bands), "key").select("row", "license").distinct()
-    pairs = found.join(words, "row").join(F.broadcast(table), "license").select("doc_id", "license", shingle_array(F.col("words")).alias("s"), F.array_distinct("t").alias("t"))
-    hit = F.filter(F.transform("s", lambda x, i: F.when(F.array_contains(F.col("t"), x), i)), lambda i: i.isNotNull())
-    n, of = F.size(F.array_intersect("s", "t")).cast("long"), F.size("t").cast("long")
-    out = pairs.select("doc_id", "license", (n / of).alias("containment"), n.alias("n_matched"), of.alias("n_shingles"), F.array_min(hit).cast("long").alias("first_word"), (F.array_max(hit) + WIDTH).cast("long").alias("end_word"))
+    pairs = found.join(words, "row").join(F.broadcast(table), "license")
+
+    def match(s: Column, t: Column) -> Column:
+        hit = F.filter(F.transform(s, lambda x, i: F.when(F.array_contains(t, x), i)), lambda i: i.isNotNull())
+        return F.struct(F.size(F.array_intersect(s, t)).cast("long").alias("n"), F.size(t).cast("long").alias("of"), F.array_min(hit).cast("long").alias("a"), (F.array_max(hit) + WIDTH).cast("long").alias("b"))
+
+    # Checked in its own projection; the filter below reads its fields.
+    both = F.struct(shingle_array(F.col("words")).alias("s"), F.array_distinct("t").alias("t"))
+    checked = pairs.select("doc_id", "license", F.explode(F.transform(F.array(both), lambda v: match(v["s"], v["t"]))).alias("m"))
+    out = checked.select("doc_id", "license", (F.col("m.n") / F.col("m.of")).alias("containment"), F.col("m.n").alias("n_matched"), F.col("m.of").alias("n_shingles"), F.col("m.a").alias("first_word"), F.col("m.b").alias("end_word"))
     return out.where(F.col("containment") >= policy.min_containment)
