@@ -21,6 +21,11 @@ CHUNK = f"{LATIN}|[{HAN}]+"
 _SPACE = r"^\s+|\s+$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row: as a lambda's variable, not as an expression in each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends (Spark's trim takes spaces only)."""
     return F.regexp_replace(c, _SPACE, "")

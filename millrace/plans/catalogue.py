@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -180,9 +179,9 @@ def engagement_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(_catalogue(spark, sf_dir), METRICS).select("id", *(_r(f"{m}_norm") for m in METRICS), _r("score"))
 
 
-@_query(lambda: f"WITH {fixture.catalogue_sql()} SELECT {', '.join(f'round(quantile_cont(ln(1 + greatest(coalesce({m}_count::DOUBLE, 0), 0)), 0.99), 6) AS {m}' for m in METRICS)} FROM cat")
+@_query(lambda: f"WITH {fixture.catalogue_sql()} SELECT {', '.join(f'round(quantile_cont(ln(1 + greatest(coalesce({m}_count::DOUBLE, 0), 0)), 0.99), 6) AS p_{m}' for m in METRICS)} FROM cat")
 def engagement_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.log_clip_p99(_catalogue(spark, sf_dir), METRICS).select(*(_r(m) for m in METRICS))
+    return scoring.log_clip_p99(_catalogue(spark, sf_dir), METRICS).select(*(F.round(m, 6).alias(f"p_{m}") for m in METRICS))
 
 
 @_query(lambda: _select_sql("month", 100, 1))
@@ -190,10 +189,9 @@ def rerank_time_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(scoring.rerank(_catalogue(spark, sf_dir), METRICS, fixture.NOW_MS, top_k=100, granularity="month", min_per_bucket=1))
 
 
-@_query(lambda: _select_sql("quarter", 400, 150))
-def rerank_backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smaller = 150 if _catalogue(spark, sf_dir).count() < 2000 else 30
-    return _selected(scoring.rerank(_catalogue(spark, sf_dir), METRICS, fixture.NOW_MS, top_k=400, granularity="quarter", min_per_bucket=smaller))
+@_query(lambda: _select_sql("quarter", 400, 30))
+def rerank_quarter_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selected(scoring.rerank(_catalogue(spark, sf_dir), METRICS, fixture.NOW_MS, top_k=400, granularity="quarter", min_per_bucket=30))
 
 
 @_query(lambda: f"WITH {_decay_sql()} SELECT row_number() OVER (ORDER BY score DESC, id DESC) AS sel_order, id, year AS time_bucket, round(score_before_decay, 6) AS score_before_decay, round(time_decay, 6) AS time_decay, round(score, 6) AS score, round(age_days, 4) AS age_days FROM ds ORDER BY 1 LIMIT 100")
@@ -279,9 +277,7 @@ def sparse_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("rank", "id", _r("score"), "channel", "tags")
 
 
-_CENTROID = "c AS (SELECT count(DISTINCT vec_id) AS seed_count, list(m ORDER BY i) AS vector FROM (SELECT i, avg(embedding[i]::DOUBLE)::FLOAT AS m FROM m GROUP BY i) CROSS JOIN (SELECT DISTINCT vec_id FROM m))"
 _DENSE = f"{_SEEDS.format('the or')}, m AS (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings WHERE vec_id IN (SELECT id FROM seeds)), c AS (SELECT (SELECT count(DISTINCT vec_id) FROM m) AS seed_count, list(v ORDER BY i) AS vector FROM (SELECT i, avg(embedding[i]::DOUBLE)::FLOAT AS v FROM m GROUP BY i))"
-_COSINE = "list_sum([a::DOUBLE * b::DOUBLE for a, b in list_zip(x, y)])"
 
 
 def _cos(x: str, y: str) -> str:
@@ -429,7 +425,7 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.json_rows(m.select("id", "channel", "title"))
 
 
-@_query("SELECT vec_id AS id, label, round(list_sum(embedding)::DOUBLE, 3) AS total FROM (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100, list_transform(embedding, lambda x: -x) FROM embeddings WHERE vec_id % 3 = 0)")
+@_query("SELECT vec_id AS id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 2) + 0.0 AS total FROM (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100, list_transform(embedding, lambda x: -x) FROM embeddings WHERE vec_id % 3 = 0)")
 def vector_store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     import tempfile
 
@@ -439,7 +435,5 @@ def vector_store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.ingest(v, recreate=True)
     store.ingest(v.where("id % 3 = 0").select("id", F.transform("vector", lambda x: -x).alias("vector"), (F.col("label") + 100).alias("label")))
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return store.read().select("id", "label", F.round(total, 3).alias("total"))
+    return store.read().select("id", "label", (F.round(total, 2) + F.lit(0.0)).alias("total"))
 
-
-_ = W
