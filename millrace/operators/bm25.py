@@ -120,8 +120,10 @@ def search(index: Index, args: Sequence[str], top_k: int = 20, conjunctive: bool
     """The top_k by total score, then id, both descending, with their ranks."""
     entries = T.query_terms(args, tokenize)
     rows = field_scores(index, effective_terms(entries), params, conjunctive).withColumn("total_score", total(params))
-    top = rows.orderBy(F.desc("total_score"), F.desc("id")).limit(top_k)
-    rank = F.row_number().over(W.orderBy(F.desc("total_score"), F.desc("id"))).cast("long")  # over top_k rows
+    # Equal documents tie, whatever order their sums were taken in: scores are compared to nine places.
+    order = [F.desc(F.round("total_score", 9)), F.desc("id")]
+    top = rows.orderBy(*order).limit(top_k)
+    rank = F.row_number().over(W.orderBy(*order)).cast("long")  # over top_k rows
     out = top.select(rank.alias("rank"), "id", F.lit(" ".join(entries)).alias("query_text"), F.array(*map(F.lit, entries)).alias("query_terms"), "total_score", *(f"{f}_score" for f in FIELDS))
     if info:
         named = index.base.select("id", "title", "description", "tags", F.col("parent").alias("parent_channel"), "channel")

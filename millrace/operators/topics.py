@@ -49,7 +49,7 @@ def nearest(vectors: DataFrame, centroid: DataFrame, top_k: int, min_score: floa
     if exclude is not None:
         rows = rows.join(exclude.select("id").distinct(), "id", "left_anti")
     scored = rows.crossJoin(F.broadcast(centroid.select(F.col("vector").alias("_c")))).select("id", cosine(F.col("vector"), F.col("_c")).alias("score"))
-    return scored.where(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(top_k)
+    return scored.where(F.col("score") >= min_score).orderBy(F.desc(F.round("score", 9)), "id").limit(top_k)
 
 
 def build_centroid(metadata: DataFrame, vectors: DataFrame, query: str, mode: str = "phrase", seed_limit: int | None = None, dimensions: int = 128, like: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +67,7 @@ def query_centroid(metadata: DataFrame, vectors: DataFrame, centroid: DataFrame,
     known = vectors.join(metadata.select("id").distinct(), "id", "left_semi")
     top = nearest(known, centroid, top_k, min_score, seeds if exclude_seeds else None)
     said = centroid.select("query", "phrase", "term_mode", "seed_count")
-    return top.crossJoin(F.broadcast(said)).join(metadata, "id").select(*said.columns, "id", "score", *(c for c in metadata.columns if c != "id")).orderBy(F.desc("score"), "id")
+    return top.crossJoin(F.broadcast(said)).join(metadata, "id").select(*said.columns, "id", "score", *(c for c in metadata.columns if c != "id")).orderBy(F.desc(F.round("score", 9)), "id")
 
 
 def dense_topic(metadata: DataFrame, vectors: DataFrame, query: str, mode: str = "phrase", seed_limit: int | None = None, top_k: int = 1000, min_score: float = 0.0, exclude_seeds: bool = False, dimensions: int = 128) -> DataFrame:
@@ -77,7 +77,7 @@ def dense_topic(metadata: DataFrame, vectors: DataFrame, query: str, mode: str =
 
 def seed_preview(metadata: DataFrame, vectors: DataFrame, centroid: DataFrame, seeds: DataFrame, n: int = 5) -> DataFrame:
     mine = vectors.join(seeds.select("id").distinct(), "id", "left_semi")
-    return nearest(mine, centroid, n, float("-inf")).join(metadata, "id").orderBy(F.desc("score"), "id")
+    return nearest(mine, centroid, n, float("-inf")).join(metadata, "id").orderBy(F.desc(F.round("score", 9)), "id")
 
 
 # Sparse vectors
@@ -97,13 +97,13 @@ def sparse_nearest(vectors: DataFrame, centroid: DataFrame, top_k: int, min_scor
     if exclude is not None:
         rows = rows.join(exclude.select("id").distinct(), "id", "left_anti")
     scored = features.unpack(rows).join(centroid, "idx", "left").groupBy("id").agg(F.sum(F.coalesce(F.col("weight") * F.col("val"), F.lit(0.0))).alias("score"))
-    return scored.where(F.col("score") >= min_score).orderBy(F.desc("score"), F.desc("id")).limit(top_k)
+    return scored.where(F.col("score") >= min_score).orderBy(F.desc(F.round("score", 9)), F.desc("id")).limit(top_k)
 
 
 def sparse_topic(metadata: DataFrame, vectors: DataFrame, query: str, mode: str = "phrase", seed_limit: int | None = 20_000, top_k: int = 100, min_score: float = 0.15, exclude_seeds: bool = False, seed_fields: Sequence[str] = FIELDS) -> DataFrame:
     """rank, id, score and metadata, which may be missing. Seeds are excluded before the limit, so top_k rows are given if there are as many."""
     seeds = find_seeds(metadata, query, mode, seed_fields, seed_limit)
     top = sparse_nearest(vectors, sparse_centroid(vectors, seeds), top_k, min_score, seeds if exclude_seeds else None)
-    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.desc("id"))).cast("long"))  # over top_k rows
+    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("score", 9)), F.desc("id"))).cast("long"))  # over top_k rows
     named = metadata.dropDuplicates(["id"]).select("id", *FIELDS)
     return ranked.join(named, "id", "left").select("rank", "id", "score", *FIELDS).orderBy("rank")

@@ -102,7 +102,7 @@ t AS (SELECT *, {total} AS total_score FROM f WHERE coalesce({", ".join(f"{f}_sc
 
 def _search_sql(entries: list[str], k: int, **options) -> str:
     shown = ", ".join(f"round({f}_score, 6) AS {f}_score" for f in bm25.FIELDS)
-    return f"WITH {_scores_sql(entries, **options)} SELECT row_number() OVER (ORDER BY total_score DESC, id DESC) AS rank, id, round(total_score, 6) AS total_score, {shown} FROM t ORDER BY rank LIMIT {k}"
+    return f"WITH {_scores_sql(entries, **options)} SELECT row_number() OVER (ORDER BY round(total_score, 9) DESC, id DESC) AS rank, id, round(total_score, 6) AS total_score, {shown} FROM t ORDER BY rank LIMIT {k}"
 
 
 def _search(found: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ _UNPACKED = "u AS (SELECT vec_id AS id, i - 1 AS idx, embedding[i]::DOUBLE AS va
 
 @_query(f"""WITH {_SEEDS.format("the or")}, {_UNPACKED}, c AS (SELECT idx, sum(val) AS s FROM u WHERE id IN (SELECT id FROM seeds) GROUP BY idx),
 w AS (SELECT idx, s / sqrt(sum(s * s) OVER ()) AS w FROM c), s AS (SELECT id, sum(coalesce(w * val, 0)) AS score FROM u LEFT JOIN w USING (idx) WHERE id NOT IN (SELECT id FROM seeds) GROUP BY id),
-r AS (SELECT row_number() OVER (ORDER BY score DESC, id DESC) AS rank, id, score FROM s WHERE score >= 0.15 ORDER BY rank LIMIT 50)
+r AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, id DESC) AS rank, id, score FROM s WHERE score >= 0.15 ORDER BY rank LIMIT 50)
 SELECT rank, id, round(score, 6) AS score, source AS channel, lang AS tags FROM r LEFT JOIN documents ON doc_id = id""")
 def sparse_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = topics.sparse_topic(_metadata(spark, sf_dir), _sparse(spark, sf_dir), TOPIC, seed_limit=None, top_k=50, exclude_seeds=True, seed_fields=("title", "description"))
@@ -288,7 +288,7 @@ def _cos(x: str, y: str) -> str:
 def _dense_sql(exclude: bool) -> str:
     out = "AND vec_id NOT IN (SELECT id FROM seeds)" if exclude else ""
     return f"""WITH {_DENSE}, s AS (SELECT vec_id AS id, seed_count, {_cos("embedding", "vector")} AS score FROM embeddings JOIN documents ON doc_id = vec_id CROSS JOIN c WHERE true {out})
-SELECT id, seed_count, round(score, 6) AS score, source AS channel FROM s JOIN documents ON doc_id = id WHERE score >= 0.0 ORDER BY s.score DESC, id LIMIT 100"""
+SELECT id, seed_count, round(score, 6) AS score, source AS channel FROM s JOIN documents ON doc_id = id WHERE score >= 0.0 ORDER BY round(s.score, 9) DESC, id LIMIT 100"""
 
 
 @_query(lambda: _dense_sql(False))
@@ -308,7 +308,7 @@ def topic_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid.select("phrase", "term_mode", "seed_count", F.posexplode("vector").alias("pos", "v")).select("phrase", "term_mode", "seed_count", F.col("pos").cast("long").alias("pos"), F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
-@_query(lambda: f"WITH {_DENSE}, s AS (SELECT vec_id AS id, {_cos('embedding', 'vector')} AS score FROM embeddings CROSS JOIN c WHERE vec_id IN (SELECT id FROM seeds)) SELECT id, round(score, 6) AS score, source AS channel FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 5) JOIN documents ON doc_id = id")
+@_query(lambda: f"WITH {_DENSE}, s AS (SELECT vec_id AS id, {_cos('embedding', 'vector')} AS score FROM embeddings CROSS JOIN c WHERE vec_id IN (SELECT id FROM seeds)) SELECT id, round(score, 6) AS score, source AS channel FROM (SELECT * FROM s ORDER BY round(score, 9) DESC, id LIMIT 5) JOIN documents ON doc_id = id")
 def topic_seed_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, v = _metadata(spark, sf_dir), fixture.vectors(spark, sf_dir)
     centroid, seeds = topics.build_centroid(m, v, TOPIC, dimensions=64)
