@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialize
 
-#: Entries of a worker's cache of chunks; when it is full it starts anew.
-CACHE = 1 << 20
+#: Entries of a worker's cache of chunks; when it is full, those of the last RECENT groups of texts stay.
+CACHE, RECENT, GROUP = 1 << 19, 4, 512
 
 
 #: A space inside a run of white space, or at its end at the end of the text: there a cut before the space is not the pre-tokenizer's.
@@ -55,6 +56,7 @@ class ChunkEncoder:
         n = self.tokenizer.get_vocab_size()
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)])  # byte-level: a character of a token's name is a byte
         self.known: dict[str, bytes] = {}
+        self.recent: deque[set[str]] = deque(maxlen=RECENT)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,14 +76,17 @@ class ChunkEncoder:
                 self.known[c], at = raw[at:stop], stop
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 512):
-            yield from self._some(texts[i : i + 512])
+        for i in range(0, len(texts), GROUP):
+            yield from self._some(texts[i : i + GROUP])
 
     def _some(self, texts: list[str]) -> list[bytes]:
         chunks = [None if "\0" in t or INNER_SPACE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
+        seen = set().union(*(c for c in chunks if c))
         if len(self.known) > CACHE:
-            self.known = {}
-        self._learn(list(set().union(*(c for c in chunks if c)) - self.known.keys()))
+            stay = set().union(*self.recent)
+            self.known = {k: v for k, v in self.known.items() if k in stay}
+        self.recent.append(seen)
+        self._learn(list(seen - self.known.keys()))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) if c is not None else self._encode([t])[0] for t, c in zip(texts, chunks, strict=True)]
 
