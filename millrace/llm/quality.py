@@ -40,6 +40,8 @@ CODES = SYMBOLS**3
 #: Steps of log perplexity in the histograms, in nats.
 STEP = 0.002
 TOP = 4096
+#: Rows counted or scored at a time.
+ROWS = 400
 # The characters that count as symbols.
 SYMBOL_CHARACTERS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -109,15 +111,17 @@ def count_trigrams(df: DataFrame, groups: list[str], lang: str, text: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            words: dict[int, Counter] = {}
-            for g, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words.setdefault(at.get(g, other), Counter()).update(utf8(t.as_py()).split())
-            for m, c in words.items():
-                if c:
-                    codes, lengths = trigrams(list(c))
-                    weights = np.repeat(np.fromiter(c.values(), np.float64, len(c)), lengths)
-                    sums[m] = sums.get(m, 0) + np.bincount(codes, weights, CODES).astype(np.int64)
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                b = whole.slice(i, ROWS)
+                words: dict[int, Counter] = {}
+                for g, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    words.setdefault(at.get(g, other), Counter()).update(utf8(t.as_py()).split())
+                for m, c in words.items():
+                    if c:
+                        codes, lengths = trigrams(list(c))
+                        weights = np.repeat(np.fromiter(c.values(), np.float64, len(c)), lengths)
+                        sums[m] = sums.get(m, 0) + np.bincount(codes, weights, CODES).astype(np.int64)
         for m, s in sums.items():
             found = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), m, np.int32)), pa.array(found.astype(np.int32)), pa.array(s[found])], names=["model", "code", "n"])
@@ -266,13 +270,19 @@ def score(df: DataFrame, groups: list[str], models: dict[int, Model], policy: Qu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                b = whole.slice(i, 2000)
-                out = score_batch(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), at, sent.value, policy)
+            for i in range(0, whole.num_rows, ROWS):
+                b = whole.slice(i, ROWS)
+                out = score_batch(b.column(where[0]).to_pylist(), b.column(where[1]).to_pylist(), at, sent.value, policy)
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(o, t) for o, t in zip(out, types, strict=True))], names=[*keep, *SCORES])
 
-    extra = [free_name(c, keep) for c in ("_l", "_t")]
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{lang}`").cast("string").alias(extra[0]), F.col(f"`{text}`").alias(extra[1]))
+    extra, where = [], []  # columns that are kept anyway aren't sent twice
+    for c, name in ((lang, "_l"), (text, "_t")):
+        if c in keep and df.schema[c].dataType.simpleString() == "string":
+            where.append(keep.index(c))
+        else:
+            where.append(n + len(extra))
+            extra.append(F.col(f"`{c}`").cast("string").alias(free_name(name, keep)))
+    rows = df.select(*(F.col(f"`{c}`") for c in keep), *extra)
     return rows.mapInArrow(run, (kept + ", " if kept else "") + "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lm_model int, lm_events long, log_perplexity double")
 
 
