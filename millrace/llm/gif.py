@@ -49,29 +49,21 @@ def lzw_encode(data: bytes, first: int = 8) -> bytes:
     clear, full = 1 << first, 4096
     segments, codes = [], []
     table: dict[int, int] = {}
-    get, nxt = table.get, clear + 2
-    put = codes.append
-    prefix = -1
-    for b in data:
-        if prefix < 0:
-            prefix = b
-            continue
-        key = prefix << 8 | b
-        found = get(key)
-        if found is not None:
-            prefix = found
-            continue
-        put(prefix)
-        prefix = b
-        if nxt < full:
-            table[key] = nxt
-            nxt += 1
-        if nxt == full:
-            put(clear)
-            segments.append(codes)
-            codes, table, nxt = [], {}, clear + 2
-            get, put = table.get, codes.append
-    if prefix >= 0:
+    get, put, nxt = table.get, codes.append, clear + 2
+    if data:
+        prefix = data[0]
+        for b in data[1:]:
+            key = prefix << 8 | b
+            if (prefix := get(key)) is None:
+                put(key >> 8)
+                prefix = b
+                table[key] = nxt
+                nxt += 1
+                if nxt == full:
+                    put(clear)
+                    segments.append(codes)
+                    codes, table, nxt = [], {}, clear + 2
+                    get, put = table.get, codes.append
         put(prefix)
     put(clear + 1)
     segments.append(codes)
@@ -85,7 +77,7 @@ def lzw_decode(raw: bytes, first: int, limit: int) -> bytes:
     """At most limit samples. Ends at the end code, at the limit, or with the data; a code that isn't in the table is an error."""
     clear, end = 1 << first, (1 << first) + 1
     data = np.frombuffer(raw + b"\0\0\0", np.uint8).astype(np.uint32)
-    total, at, size, out = 8 * len(raw), 0, 0, []
+    total, at, size, out, done = 8 * len(raw), 0, 0, [], 0
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     table, prev, seen = list(roots), None, 0
     while True:
@@ -104,25 +96,30 @@ def lzw_decode(raw: bytes, first: int, limit: int) -> bytes:
         codes = ((data[i] | data[i + 1] << 8 | data[i + 2] << 16) >> (pos & 7).astype(np.uint32)) & ((1 << bits) - 1).astype(np.uint32)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         used = int(stop[0]) if len(stop) else n
-        for c in codes[:used].tolist():
-            if prev is None:
-                prev = table[c]
-                if not prev:
-                    raise ValueError("LZW code beyond the table")
-                out.append(prev)
-                size += 1
-                continue
-            if c < len(table):
+        some = codes[:used].tolist()
+        if prev is None and some:
+            prev = table[some[0]] if some[0] < len(table) else b""
+            if not prev:
+                raise ValueError("LZW code beyond the table")
+            out.append(prev)
+            del some[0]
+        new = 4096 - len(table)
+        put, add = out.append, table.append
+        for c in some[:new]:
+            try:
                 s = table[c]
-            elif c == len(table) and len(table) < 4096:
+            except IndexError:
+                if c > len(table):
+                    raise ValueError("LZW code beyond the table") from None
                 s = prev + prev[:1]
-            else:
-                raise ValueError("LZW code beyond the table")
-            out.append(s)
-            size += len(s)
-            if len(table) < 4096:
-                table.append(prev + s[:1])
+            add(prev + s[:1])
+            put(s)
             prev = s
+        if len(some) > new:  # the table is full
+            out += map(table.__getitem__, some[new:])
+            prev = out[-1]
+        size += sum(map(len, out[done:]))
+        done = len(out)
         if size >= limit:
             break
         if len(stop):
