@@ -8,8 +8,9 @@ Code points are folded to 64 symbols, so a model has 2**18 trigrams at most, wha
 that is what bounds the broadcast (12 bytes each, for max_models models).
 
 Each model's language has a lower and an upper band of log perplexity around the median of its
-documents; the widths follow the median deviation, and grow for short documents, whose perplexity is
-less certain. Too high is noise, too low is boilerplate. Bands and counts are over all documents.
+documents, by classes of length, as the perplexity of short documents is less certain. The widths are
+the corpus' own: so many robust spreads of the deviations above the median, and of those below it. Too
+high is noise, too low is boilerplate. Bands and counts are over all documents.
 
 At scale: three narrow passes over the texts (count, score, filter); what is shuffled are model
 counts and histograms of log perplexity, both of bounded size for a task. No document is shuffled.
@@ -40,6 +41,8 @@ CODES = SYMBOLS**3
 #: Steps of log perplexity in the histograms, in nats.
 STEP = 0.002
 TOP = 4096
+#: Classes of length: powers of two of events, from 2**6 or fewer to 2**16 or more.
+CLASSES, FIRST_CLASS = 11, 6
 #: Rows counted or scored at a time.
 ROWS = 400
 # The characters that count as symbols.
@@ -49,19 +52,16 @@ WHITE = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class QualityPolicy:
-    """widths: band half-widths in robust deviations; slacks: nats more, so that clean text with a quotation in another language stays within; event_sd: nats by which one character's cost varies, for short documents."""
+    """widths: band half-widths in robust spreads of their own side; class_docs: classes of length with fewer documents take the spreads of the whole language."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
     max_models: int = 32
-    lower_width: float = 8.0
-    upper_width: float = 8.0
-    lower_slack: float = 0.5
-    upper_slack: float = 1.0
+    lower_width: float = 5.0
+    upper_width: float = 5.0
     least_spread: float = 0.01
-    event_sd: float = 1.5
-    event_width: float = 4.0
+    class_docs: int = 200
 
 
 @lru_cache(maxsize=1)
@@ -290,32 +290,46 @@ def base_failed(policy: QualityPolicy):
     return (F.col("n_words") < policy.min_words) | (100 * F.col("n_repeat_words") > policy.max_repeat_percent * F.col("n_words"))
 
 
-def bands(scored: DataFrame, policy: QualityPolicy) -> dict[int, tuple[float, float]]:
-    """By model, the median of log perplexity and its robust spread, from a histogram of all documents that pass the base rule."""
+def length_class():
+    return F.least(F.greatest(F.floor(F.log2(F.greatest(F.col("lm_events"), F.lit(1)))) - FIRST_CLASS, F.lit(0)), F.lit(CLASSES - 1)).cast("int")
+
+
+def spreads(hist: np.ndarray, policy: QualityPolicy) -> tuple[float, float, float]:
+    """The median of a histogram, and the robust spreads below and above it."""
+    middle = int(np.searchsorted(np.cumsum(hist), hist.sum() / 2))
+
+    def side(n: np.ndarray) -> float:
+        """n: by steps away from the middle; half of the middle's own documents lie on this side."""
+        n = np.concatenate([[n[0] / 2], n[1:]])
+        return max(1.4826 * STEP * int(np.searchsorted(np.cumsum(n), n.sum() / 2)), policy.least_spread)
+
+    return (middle + 0.5) * STEP, side(hist[middle::-1]), side(hist[middle:])
+
+
+def bands(scored: DataFrame, policy: QualityPolicy) -> dict[tuple[int, int], tuple[float, float]]:
+    """By model and class of length, the least and the largest log perplexity that is kept, from histograms of all documents that pass the base rule."""
     step = F.least(F.greatest(F.floor(F.col("log_perplexity") / STEP), F.lit(0)), F.lit(TOP - 1)).cast("int")
-    rows = scored.where(~base_failed(policy)).groupBy("lm_model", step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()  # max_models * TOP rows at most
+    rows = scored.where(~base_failed(policy)).groupBy("lm_model", length_class().alias("c"), step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()  # max_models * CLASSES * TOP rows at most
+    hists: dict[int, np.ndarray] = {}
+    for r in rows:
+        hists.setdefault(r["lm_model"], np.zeros((CLASSES, TOP), np.int64))[r["c"], r["s"]] = r["n"]
     out = {}
-    for m in {r["lm_model"] for r in rows}:
-        hist = np.zeros(TOP, np.int64)
-        for r in rows:
-            if r["lm_model"] == m:
-                hist[r["s"]] = r["n"]
-        middle = int(np.searchsorted(np.cumsum(hist), hist.sum() / 2))
-        away = np.bincount(np.abs(np.arange(TOP) - middle), hist)
-        mad = int(np.searchsorted(np.cumsum(away), hist.sum() / 2)) * STEP
-        out[m] = ((middle + 0.5) * STEP, max(1.4826 * mad, policy.least_spread))
+    for m, hist in hists.items():
+        whole = spreads(hist.sum(axis=0), policy)
+        for c in range(CLASSES):
+            middle, below, above = spreads(hist[c], policy) if hist[c].sum() >= policy.class_docs else whole
+            out[m, c] = (middle - policy.lower_width * below, middle + policy.upper_width * above)
     return out
 
 
-def verdict(found: dict[int, tuple[float, float]], policy: QualityPolicy):
+def verdict(found: dict[tuple[int, int], tuple[float, float]], policy: QualityPolicy):
     """Whether a scored row is kept."""
-    inside = F.lit(True)
-    slack = policy.event_width * policy.event_sd / F.sqrt(F.greatest(F.col("lm_events"), F.lit(1)))
-    for m, (middle, spread) in sorted(found.items()):
-        away = F.col("log_perplexity") - F.lit(middle)
-        ok = (away <= policy.upper_width * spread + policy.upper_slack + slack) & (-away <= policy.lower_width * spread + policy.lower_slack + slack)
-        inside = F.when(F.col("lm_model") == m, ok).otherwise(inside)
-    return ~base_failed(policy) & inside
+    if not found:
+        return ~base_failed(policy)
+    n = (max(m for m, _ in found) + 1) * CLASSES
+    at = F.col("lm_model") * CLASSES + length_class()
+    low, high = (F.get(F.array(*(F.lit(found.get(divmod(i, CLASSES), (0.0, float("inf")))[k]) for i in range(n))), at) for k in (0, 1))
+    return ~base_failed(policy) & F.coalesce(F.col("log_perplexity").between(low, high), F.lit(True))
 
 
 def judge(df: DataFrame, policy: QualityPolicy = QualityPolicy(), doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:

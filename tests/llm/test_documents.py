@@ -193,6 +193,18 @@ def test_quality_base_counts_and_verdicts(spark):
     assert quality.judge(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).count() == 0
 
 
+def test_quality_rejects_planted_low_and_high_perplexity(spark):
+    rng = random.Random(4)
+    en = ["th"] * 6 + ["er", "on", "an", "re", "he", "in", "ed"]
+    rows = [(i, "en", prose(rng, en, rng.randint(60, 200))) for i in range(600)]
+    rows += [(900, "en", prose(rng, ["th"], 120)), (901, "en", prose(rng, [*en, "qo", "xu"], 120)), (902, "en", " | ".join(prose(rng, en, 120).split()))]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    middle = sorted(got[i]["log_perplexity"] for i in range(600))[300]
+    assert got[900]["log_perplexity"] < middle < min(got[901]["log_perplexity"], got[902]["log_perplexity"])
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (900, 901, 902))
+    assert sum(got[i]["kept"] for i in range(600)) >= 594
+
+
 def test_trigram_counts_and_probabilities(spark):
     rows = quality_rows()
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
