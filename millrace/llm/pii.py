@@ -3,12 +3,13 @@
 The tagger (bilstm.py) is trained in numpy on labelled spans: sentences made by a seeded generator, so
 labels are exact, with forms the base patterns miss (spelled-out mail addresses, IPv6, cards cut by
 dots, phones without a plus) and look-alikes that are none (dates, versions, prices, hashes). Its bound
-is EXAMPLES. Long texts are cut into overlapping windows; each is decoded, a span that touches a
-window's inner edge is left to the neighbour that sees it whole, and all spans of a text are reconciled
-by weighted interval scheduling. An exact check by kind follows, then spans that meet base ones go.
+is EXAMPLES. Long texts are cut into overlapping windows at fixed places; each is decoded, and a span that
+touches a window's inner edge is left to the neighbour that sees it whole. An exact check by kind follows, spans that meet base ones go, and the others
+of a text are reconciled by weighted interval scheduling.
 
-Every span that can pass the check holds a digit, an at sign or the word "dot", and is no longer than
-REACH. So only windows within REACH of such a place are decoded; the result is that of decoding all.
+Every span that can pass the check holds a match of TRIGGER: a digit, an at sign, the letters "dot", the
+word "at" before a name with a dot, a double colon, or a colon between hexadecimal groups. So only
+windows that meet one are decoded; as windows have fixed places, the result is that of decoding all.
 
 At scale: one narrow pass over Arrow batches; nothing is shuffled, and the broadcast tagger has a fixed
 size. Memory follows the longest text of a batch and a fixed number of windows.
@@ -47,7 +48,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[dD][oO][tT]")
+TRIGGER = re.compile(r"[0-9@]|[dD][oO][tT]|\b[aA][tT]\b\s*[\])]?\s*[A-Za-z0-9-]+\.[A-Za-z0-9-]|::|(?<=[0-9A-Fa-f]):(?=[0-9A-Fa-f]{1,4}:)")
 LOCAL_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -183,24 +184,19 @@ def tagger(examples: int = EXAMPLES, seed: int = 11, epochs: int = 6) -> bilstm.
 # Windows, decoding, reconciling.
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over all places within REACH of a trigger."""
-    regions: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if regions and a <= regions[-1][1]:
-            regions[-1][1] = b
-        else:
-            regions.append([a, b])
-    out = []
-    for a, b in regions:
-        at = a
-        while True:
-            out.append((at, min(b, at + WINDOW)))
-            if at + WINDOW >= b:
-                break
-            at += WINDOW - OVERLAP
-    return out
+def windows(text: str, every: bool = False) -> list[tuple[int, int]]:
+    """Overlapping windows at fixed places: those that meet a trigger, or all."""
+    step = WINDOW - OVERLAP
+    n = max(1, -(-(len(text) - OVERLAP) // step))
+    if every:
+        chosen = range(n)
+    else:
+        chosen, at = [], 0
+        for m in TRIGGER.finditer(text):
+            first = max(at, (m.start() - WINDOW) // step + 1)
+            at = max(at, min(n, (m.end() - 1) // step + 1))
+            chosen.extend(range(first, at))
+    return [(k * step, min(len(text), k * step + WINDOW)) for k in chosen]
 
 
 def spans_of(tags: list[int], margin: np.ndarray, start: int) -> list[tuple[float, str, int, int]]:
@@ -261,13 +257,13 @@ def reconcile(found: list[tuple[float, str, int, int]]) -> list[tuple[str, int,
     return out[::-1]
 
 
-def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model: bilstm.BiLstmCrf) -> list[list[tuple[str, int, int]]]:
-    """What the tagger adds to each text's base spans."""
-    jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t)]
-    found: dict[int, list] = {}
-    jobs.sort(key=lambda j: j[2] - j[1])
-    for k in range(0, len(jobs), BATCH):
-        some = jobs[k : k + BATCH]
+def decoded(texts: list[str], jobs: list[tuple[int, int, int]], model: bilstm.BiLstmCrf) -> Iterator[tuple[int, int, int, tuple]]:
+    """Of windows (text, start, end), the window and each of its spans."""
+    jobs = sorted(jobs, key=lambda j: j[2] - j[1])
+    k = 0
+    while k < len(jobs):
+        some = jobs[k : k + max(1, BATCH * WINDOW // max(WINDOW, jobs[min(k + BATCH, len(jobs)) - 1][2] - jobs[min(k + BATCH, len(jobs)) - 1][1]))]
+        k += len(some)
         width = max(b - a for _, a, b in some)
         ids = np.zeros((len(some), width), np.int64)
         for r, (i, a, b) in enumerate(some):
@@ -277,8 +273,16 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
             row = tags[r, : b - a]
             if row.any():
                 for s in spans_of(row.tolist(), margin[r], a):
-                    if (s[2] > a or a == 0) and (s[3] < b or b == len(texts[i])):
-                        found.setdefault(i, []).append(s)
+                    yield i, a, b, s
+
+
+def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model: bilstm.BiLstmCrf, every: bool = False) -> list[list[tuple[str, int, int]]]:
+    """What the tagger adds to each text's base spans. every: windows without a trigger are decoded too."""
+    jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t, every)]
+    found: dict[int, list] = {}
+    for i, a, b, s in decoded(texts, jobs, model):
+        if (s[2] > a or a == 0) and (s[3] < b or b == len(texts[i])):
+            found.setdefault(i, []).append(s)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for i, spans in found.items():
         ok = [s for s in spans if s[3] - s[2] <= REACH and passes(s[1], texts[i][s[2] : s[3]]) and not any(s[2] < b and a < s[3] for _, a, b in base[i])]

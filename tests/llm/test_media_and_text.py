@@ -206,6 +206,18 @@ def test_pii_windows_find_what_one_window_finds():
     assert {text[a:b] for _, a, b in every[0]} == {"(212) 555-0142", "305-555-0199"}
 
 
+def test_pii_pruned_and_full_decoding_agree():
+    model = pii.tagger()
+    assert all(pii.TRIGGER.search(s) for s in ("jane.doe [at] example.com", "jane (at) mail.example.org", "jane at example.com", "jane AT example.com", "dead:beef::cafe", "fe:ed::be:ef", "a:b:c:d:e:f:a:b"))
+    rng = random.Random(6)
+    filler = lambda: "".join(rng.choice(["lorem ", "ipsum, ", "at the dolor. ", "sit\n", "amet ", "note: "]) for _ in range(rng.randrange(80)))
+    texts = [filler() + rng.choice(["jane.doe [at] example.com", "jane (at) mail.example.org", "jane at example.com", "dead:beef::cafe", "fe:ed::be:ef"]) + " " + filler() for _ in range(60)]
+    texts += [filler() + pii.make_span(rng, rng.choice(pii.KINDS)) + " " + filler() for _ in range(60)] + ["", "x", "word " * 100]
+    base = [pii.base_spans(t) for t in texts]
+    pruned, full = pii.added_spans(texts, base, model), pii.added_spans(texts, base, model, every=True)
+    assert pruned == full and sum(map(bool, pruned[:60])) >= 30
+
+
 def test_reconcile_takes_the_best_sum():
     spans = [(1.0, "ip", 0, 5), (3.0, "card", 3, 9), (1.5, "ip", 6, 10), (1.0, "phone", 10, 12), (1.0, "phone", 10, 12)]
     assert pii.reconcile(spans) == [("card", 3, 9), ("phone", 10, 12)]
