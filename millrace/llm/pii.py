@@ -3,8 +3,9 @@
 The tagger (bilstm.py) is trained in numpy on labelled spans: sentences made by a seeded generator, so
 labels are exact, with forms the base patterns miss (spelled-out mail addresses, IPv6, cards cut by
 dots, phones without a plus) and look-alikes that are none (dates, versions, prices, hashes). Its bound
-is EXAMPLES. Long texts are cut into overlapping windows at fixed places; each is decoded, and a span that
-touches a window's inner edge is left to the neighbour that sees it whole. An exact check by kind follows, spans that meet base ones go, and the others
+is EXAMPLES. Long texts are cut into overlapping windows at fixed places; each is decoded. A span that
+touches a window's inner edge is carried over into a window of twice the size around it, until it is
+seen whole, however long. An exact check by kind follows, spans that meet base ones go, and the others
 of a text are reconciled by weighted interval scheduling.
 
 Every span that can pass the check holds a match of TRIGGER: a digit, an at sign, the letters "dot", the
@@ -38,7 +39,7 @@ from .common import free_name
 
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES = 2500
-WINDOW, OVERLAP, REACH = 160, 64, 64
+WINDOW, OVERLAP = 160, 64
 #: Windows decoded at a time.
 BATCH = 256
 OUT = 0  # tags: 0 outside, 1 + 2k begins kind k, 2 + 2k goes on with it
@@ -199,6 +200,13 @@ def windows(text: str, every: bool = False) -> list[tuple[int, int]]:
     return [(k * step, min(len(text), k * step + WINDOW)) for k in chosen]
 
 
+def wider(a: int, b: int, size: int, n: int) -> tuple[int, int]:
+    """The window of so many characters, at places of a size/8, that has a span about in its middle."""
+    step = size // 8
+    at = max(0, ((a + b - size) // 2 + step // 2) // step * step)
+    return at, min(n, at + size)
+
+
 def spans_of(tags: list[int], margin: np.ndarray, start: int) -> list[tuple[float, str, int, int]]:
     out, i, n = [], 0, len(tags)
     while i < n:
@@ -279,13 +287,21 @@ def decoded(texts: list[str], jobs: list[tuple[int, int, int]], model: bilstm.Bi
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model: bilstm.BiLstmCrf, every: bool = False) -> list[list[tuple[str, int, int]]]:
     """What the tagger adds to each text's base spans. every: windows without a trigger are decoded too."""
     jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t, every)]
+    carry = {(i, a, b) for i, t in enumerate(texts) for a, b in windows(t)} if every else set(jobs)  # no other can have part of a span that passes without one of them having it too
     found: dict[int, list] = {}
-    for i, a, b, s in decoded(texts, jobs, model):
-        if (s[2] > a or a == 0) and (s[3] < b or b == len(texts[i])):
-            found.setdefault(i, []).append(s)
+    size = WINDOW
+    while jobs:
+        carried = set()
+        for i, a, b, s in decoded(texts, jobs, model):
+            if (s[2] > a or a == 0) and (s[3] < b or b == len(texts[i])):
+                found.setdefault(i, []).append(s)
+            elif size > WINDOW or (i, a, b) in carry:
+                carried.add((i, s[2], s[3]))
+        size *= 2
+        jobs = sorted({(i, *wider(a, b, size, len(texts[i]))) for i, a, b in carried})
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for i, spans in found.items():
-        ok = [s for s in spans if s[3] - s[2] <= REACH and passes(s[1], texts[i][s[2] : s[3]]) and not any(s[2] < b and a < s[3] for _, a, b in base[i])]
+        ok = [s for s in spans if passes(s[1], texts[i][s[2] : s[3]]) and not any(s[2] < b and a < s[3] for _, a, b in base[i])]
         out[i] = reconcile(ok)
     return out
 

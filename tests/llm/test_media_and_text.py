@@ -218,6 +218,29 @@ def test_pii_pruned_and_full_decoding_agree():
     assert pruned == full and sum(map(bool, pruned[:60])) >= 30
 
 
+class Marked:
+    """A tagger to look at windows alone: all but tildes is a mail address."""
+
+    def viterbi(self, ids):
+        inside = (ids > 0) & (ids != ord("~") - 31)
+        tags = np.where(inside, 2, 0)
+        tags[:, 0] = np.where(inside[:, 0], 1, 0)
+        tags[:, 1:][inside[:, 1:] & ~inside[:, :-1]] = 1
+        return tags, np.ones(ids.shape)
+
+
+def test_pii_long_spans_and_spans_as_long_as_the_overlap():
+    for host in (3, 10, 40, 200):
+        for n in (0, 5, 37, 90, 95, 96, 97, 150, 300):
+            mail = "jane (at) " + " (dot) ".join(["part"] * host + ["org"])
+            text = "~" * n + mail + "~" * 400
+            assert pii.added_spans([text], [[]], Marked()) == [[("email", n, n + len(mail))]]
+    for size in (62, 63, 64, 65):
+        mail = "a (at) " + "b" * (size - 11) + ".org"
+        for n in range(0, 200):
+            assert pii.added_spans(["~" * n + mail + "~" * 300], [[]], Marked()) == [[("email", n, n + size)]]
+
+
 def test_reconcile_takes_the_best_sum():
     spans = [(1.0, "ip", 0, 5), (3.0, "card", 3, 9), (1.5, "ip", 6, 10), (1.0, "phone", 10, 12), (1.0, "phone", 10, 12)]
     assert pii.reconcile(spans) == [("card", 3, 9), ("phone", 10, 12)]
