@@ -5,10 +5,10 @@ shingles of its template. Words are cut at ASCII white space, lower-cased, and s
 a-z or 0-9 at their ends.
 
 Retrieval: a template with n shingles is retrieved by windows of w shingles, the largest of SIZES up to
-n. Template windows start at every shingle, document windows at every w/4-th. If a document holds 0.8
+the number that a text must hold of it. Template windows start at every shingle, document windows at every w/4-th. If a document holds 0.8
 of a template, some window of it holds 0.8 of the aligned one, a Jaccard similarity of 2/3 or more, so
 BANDS = 12 bands of 2 minima miss with a probability under (1 - 4/9)**12, 0.09 %, for a single pair of
-windows. Templates of under five shingles must be there whole, so one band finds them for certain.
+windows. Templates of under four shingles must be there whole, so one band finds them for certain.
 
 Pruning without loss: by rule, each template has anchor words such that its shingles without any of
 them are under min_containment; a text that contains no anchor as a substring can't match, and is left
@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,13 +102,14 @@ def anchors(policy: LicensePolicy) -> list[str]:
     return sorted(a for a in chosen if not any(b != a and b in a for b in chosen))
 
 
-def window_size(n: int) -> int:
-    return max(s for s in SIZES if s <= n)
+def window_size(n: int, min_containment: float = 0.8) -> int:
+    """Of a template of n shingles: no larger than what a text must hold of it, so every text that can match has a window."""
+    return max(s for s in SIZES if s <= max(1, ceil(min_containment * n - 1e-9)))
 
 
 def band_keys(shingles: Column, size: int, step: int) -> Column:
     """Keys of the bands of all windows of so many shingles; the last window ends with the text."""
-    n_bands = BANDS if size >= WIDTH else 1
+    n_bands = BANDS if size >= 4 else 1
     seeds = F.sequence(F.lit(0), F.lit(n_bands * MINIMA - 1))
 
     def keys(window: Column) -> Column:
@@ -128,9 +130,10 @@ def find_licenses(df: DataFrame, policy: LicensePolicy = LicensePolicy(), doc_id
     counts = {name: len(normal_words(t)) - WIDTH + 1 for name, t in policy.templates}
     if min(counts.values()) < 1:
         raise ValueError("a template has fewer than five words")
-    sizes = sorted({window_size(n) for n in counts.values()})
+    fit = {name: window_size(n, policy.min_containment) for name, n in counts.items()}
+    sizes = sorted(set(fit.values()))
     table = spark.createDataFrame(list(policy.templates), "license string, notice string").select("license", shingle_array(word_array(F.col("notice"))).alias("t"))
-    by_size = [table.where(F.col("license").isin([k for k, n in counts.items() if window_size(n) == s])).select("license", F.explode(band_keys(F.col("t"), s, 1)).alias("key")) for s in sizes]
+    by_size = [table.where(F.col("license").isin([k for k, n in fit.items() if n == s])).select("license", F.explode(band_keys(F.col("t"), s, 1)).alias("key")) for s in sizes]
     bands = reduce(DataFrame.unionByName, by_size).distinct()
     low = F.lower(F.col(f"`{text}`"))
     anchored = reduce(Column.__or__, (F.contains(low, F.lit(a)) for a in anchors(policy)))

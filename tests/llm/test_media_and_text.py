@@ -279,6 +279,16 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.find_licenses(df.limit(0)).count() == 0
 
 
+def test_licenses_in_texts_that_are_nothing_else(spark):
+    rows = []
+    for i, (_, notice) in enumerate(licenses.TEMPLATES):  # all beginnings and ends that still match
+        words = notice.split()
+        rows += [(100 * i + k, " ".join(w)) for k, w in enumerate([words, words[:-1], words[1:], words[: len(words) * 9 // 10], words[len(words) // 10 :]])]
+    df = spark.createDataFrame([*rows, (9999, "This work is licensed under a Creative Commons Attribution 4.0 International")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["license"], r["n_matched"], r["n_shingles"], r["first_word"], r["end_word"]) for r in licenses.find_licenses(df).collect())
+    assert got == brute_licenses([(r["doc_id"], r["text"]) for r in df.collect()]) and any(g[0] == 9999 for g in got)
+
+
 # The pipeline
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not there")
 def test_pipeline(spark):
