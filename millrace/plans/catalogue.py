@@ -247,7 +247,7 @@ def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def svd_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = features.tfidf(_catalogue(spark, sf_dir), "payload_title", "payload_description", low=1, high=1, n_features=1 << 10)
-    svd = features.TruncatedSvd(16, n_iter=3, oversamples=8).fit(v, 1 << 10, fit_rows=500)
+    svd = features.TruncatedSvd(16, n_iter=3, oversamples=8).fit(v, 1 << 10)
     return svd.transform(v)
 
 
