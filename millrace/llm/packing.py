@@ -18,34 +18,39 @@ An empty table gives an empty one.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import free_name, materialize
 
-#: Entries of a worker's cache of chunks; when it is full, those of the last RECENT groups of texts stay.
-CACHE, RECENT, GROUP = 1 << 19, 4, 512
-
+#: Entries of a worker's cache of chunks; when it is full, it starts anew.
+CACHE = 1 << 20
+#: Bytes of text that are split at a time (a longer text is alone), and chunks that are tokenised run together.
+GROUP, RUN = 1 << 23, 4096
 
 #: A space inside a run of white space, or at its end at the end of the text: there a cut before the space is not the pre-tokenizer's.
-INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
+INNER_SPACE = r"[\pZ\x09-\x0D\x1C-\x1F\x85] (?:[\pZ\x09-\x0D\x1C-\x1F\x85]|\z)"
+#: A chunk that can be run together with others: a space, then no white space at either end.
+APART = r"(?s)\A [^\pZ\x09-\x0D\x1C-\x1F\x85](.*[^\pZ\x09-\x0D\x1C-\x1F\x85])?\z"
 
 
 class ChunkEncoder:
-    """Token ids of texts, as little-endian 32-bit bytes, by the tokenizer in a file.
+    """Token ids of texts by the tokenizer in a file.
 
-    The byte-level pre-tokenizer cuts before a space that has no white space on one of its sides, so
-    the chunks of a text that begin at its spaces are tokenised alone, and each only once while it
-    stays in the cache. Other texts are tokenised whole.
+    A byte-level pre-tokenizer cuts before a space that has no white space on one of its sides, so the
+    chunks of a text that begin at its spaces can be tokenised alone. Texts are split and their chunks
+    dictionary-encoded in Arrow; each distinct chunk is tokenised once while it stays in the cache, and
+    the ids of the texts are gathered by numpy. Other texts, and all texts of a tokenizer that isn't a
+    plain byte-level BPE, are tokenised whole.
     """
 
     def __init__(self, path: str):
@@ -53,42 +58,102 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.by_chunks = self._is_byte_level(json.loads(self.tokenizer.to_str()))
         n = self.tokenizer.get_vocab_size()
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)])  # byte-level: a character of a token's name is a byte
-        self.known: dict[str, bytes] = {}
-        self.recent: deque[set[str]] = deque(maxlen=RECENT)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Most chunks are tokenised many at a time, run together, and cut apart by the byte lengths of the tokens."""
-        fit = [c for c in new if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
-        rest = list(set(new).difference(fit))
-        self.known.update(zip(rest, self._encode(rest), strict=True))
-        for i in range(0, len(fit), 4096):
-            some = fit[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.n_bytes[ids])
-            raw, at = ids.tobytes(), 0
-            stops = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in some]), side="right")
-            for c, stop in zip(some, (4 * stops).tolist(), strict=True):
-                self.known[c], at = raw[at:stop], stop
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), GROUP):
-            yield from self._some(texts[i : i + GROUP])
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if "\0" in t or INNER_SPACE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        seen = set().union(*(c for c in chunks if c))
-        if len(self.known) > CACHE:
-            stay = set().union(*self.recent)
-            self.known = {k: v for k, v in self.known.items() if k in stay}
-        self.recent.append(seen)
-        self._learn(list(seen - self.known.keys()))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self._encode([t])[0] for t, c in zip(texts, chunks, strict=True)]
+        self._forget()
+
+    @staticmethod
+    def _is_byte_level(made: dict) -> bool:
+        """Whether a cut at a chunk's edge can't change the ids: nothing but the byte-level pre-tokenizer and BPE works on the text."""
+        pre = made.get("pre_tokenizer") or {}
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        return plain and made.get("normalizer") is None and made["model"].get("type") == "BPE" and not any(not t.get("special") for t in made.get("added_tokens", []))
+
+    def _forget(self) -> None:
+        """known: the chunks; their ids follow one another in raw, those of the i-th from ends[i] to ends[i + 1]."""
+        self.known = pa.array([], pa.large_string())
+        self.raw, self.ends = np.zeros(1 << 16, "<u4"), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, chunks: pa.Array, ids: list[np.ndarray], ends: list[np.ndarray]) -> None:
+        """ends: of the chunks of each part of the ids, from the part's begin."""
+        if not len(chunks):
+            return
+        made = np.concatenate(ids)
+        used = int(self.ends[-1])
+        if used + len(made) > len(self.raw):
+            self.raw = np.concatenate([self.raw[:used], np.zeros(used + 2 * len(made), "<u4")])
+        self.raw[used : used + len(made)] = made
+        self.known = pa.concat_arrays([self.known, chunks])
+        before = used + np.cumsum([0, *(len(i) for i in ids[:-1])])
+        self.ends = np.concatenate([self.ends, *(e + x for e, x in zip(ends, before.tolist(), strict=True))])
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """The places of new chunks. Most are tokenised many at a time, run together, and cut apart by the byte lengths of the tokens."""
+        apart = pc.match_substring_regex(new, APART)
+        fit, rest = new.filter(apart), new.filter(pc.invert(apart))
+        place, apart = np.empty(len(new), np.int64), apart.to_numpy(zero_copy_only=False)
+        place[apart], place[~apart] = len(self.known) + np.arange(len(fit)), len(self.known) + len(fit) + np.arange(len(rest))
+        offsets = np.frombuffer(fit.buffers()[1], np.int64)[fit.offset : fit.offset + len(fit) + 1] if len(fit) else np.zeros(1, np.int64)
+        ids, ends = [], []
+        for i in range(0, len(fit), RUN):
+            edges = offsets[i : i + RUN + 1]
+            ids.append(self._encode([str(memoryview(fit.buffers()[2])[edges[0] : edges[-1]], "utf-8")])[0])
+            ends.append(np.searchsorted(np.cumsum(self.n_bytes[ids[-1]]), edges[1:] - edges[0], side="right"))
+        self._add(fit, ids, ends)
+        alone = self._encode(rest.to_pylist())
+        self._add(rest, alone, [np.array([len(i)]) for i in alone])
+        return place
+
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks at these places, one after another, and where each chunk ends."""
+        store = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.known), [None, pa.py_buffer(4 * self.ends), pa.py_buffer(self.raw)])
+        _, ends, data = store.take(pa.array(place)).buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(place) + 1] // 4
+        return np.frombuffer(data, "<u4")[: ends[-1]] if data is not None else np.zeros(0, "<u4"), ends
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of groups of texts without nulls, in order: all their ids and the number of each text's."""
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP, side="right")))
+            yield self._some(texts.slice(at, stop - at))
+            at = stop
+
+    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        odd = np.ones(n, bool)
+        if self.by_chunks:
+            odd = pc.or_(pc.match_substring_regex(texts, INNER_SPACE), pc.match_substring(texts, "\0")).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(odd)
+        rest = texts.filter(pa.array(~odd)).cast(pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(rest, " ", "\0 "), "\0")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        if len(self.known) + len(distinct) > CACHE:
+            self._forget()
+        at = pc.index_in(distinct, value_set=self.known)
+        fresh = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        at[fresh] = self._learn(distinct.filter(pa.array(fresh)))
+        ids, ends = self._gather(at[coded.indices.to_numpy()])
+        edges = ends[split.offsets.to_numpy() - split.offsets[0].as_py()] if len(rest) else np.zeros(1, np.int64)
+        counts = np.zeros(n, np.int64)
+        counts[~odd] = np.diff(edges)
+        if not len(whole):
+            return ids, counts
+        # Texts that were tokenised whole go between the others.
+        alone = self._encode(texts.take(pa.array(whole)).to_pylist())
+        counts[whole] = [len(a) for a in alone]
+        out, last = np.empty(int(counts.sum()), "<u4"), np.cumsum(counts)
+        out[np.repeat(~odd, counts)] = ids
+        for i, a in zip(whole, alone, strict=True):
+            out[last[i] - len(a) : last[i]] = a
+        return out, counts
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -104,7 +169,6 @@ def _encoder(path: str | None) -> ChunkEncoder:
 
 def token_pieces(df: DataFrame, size: int, end_id: int = 2, path: str | None = None, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, with keep_ids, the ids: a row for each piece. path: the tokenizer's file; None finds the public one where the worker runs."""
-    end = np.array([end_id], "<u4").tobytes()
     kind = df.schema[doc_id].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
@@ -114,20 +178,25 @@ def token_pieces(df: DataFrame, size: int, end_id: int = 2, path: str | None = N
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encoder = _encoder(path)
         for b in batches:
-            row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for r, raw in enumerate(encoder.encode([t or "" for t in b.column(1).to_pylist()])):
-                raw += end
-                n = len(raw) // 4
-                at, k = 0, 0
-                while at < n:
-                    step = (n - 1) % size + 1 if at == 0 else size
-                    part = raw[4 * at : 4 * (at + step)]
-                    row.append(r), piece.append(k), start.append(at), length.append(step), crc.append(zlib.crc32(part))
-                    if keep_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-                    at, k = at + step, k + 1
-            columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids, names=names)
+            first = 0
+            for ids, counts in encoder.encode(pc.fill_null(b.column(1), "")):
+                ends = np.cumsum(counts)
+                n = counts + 1
+                ids = np.insert(ids, ends, np.uint32(end_id))
+                pieces = -(-n // size)
+                row = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                head = (n - 1) % size + 1  # the length of the first piece
+                start = np.where(piece > 0, head[row] + (piece - 1) * size, 0)
+                length = np.where(piece > 0, size, head[row])
+                at = (np.cumsum(n) - n)[row] + start
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * i : 4 * (i + k)]) for i, k in zip(at.tolist(), length.tolist(), strict=True)]
+                columns = [b.column(0).take(pa.array(row + first)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(ids)]]).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                first += len(n)
 
     return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
