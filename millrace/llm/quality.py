@@ -1,23 +1,35 @@
 """Quality rules with n-gram perplexity.
 
-The language model is a character trigram model over the words of all documents, with modified
-Kneser-Ney smoothing (Chen and Goodman 1998), one for each of the languages with most documents and
-one for all others together. Spark counts it: each task sums its trigrams, the sums are added by
-(model, trigram), and each model's table becomes sorted hash arrays that are searched by bisection.
-Code points are folded to 64 symbols, so a model has 2**18 trigrams at most, whatever the corpus:
-that is what bounds the broadcast (12 bytes each, for max_models models).
-
-Each model's language has a lower and an upper band of log perplexity around the median of its
-documents, by classes of length, as the perplexity of short documents is less certain. The widths are
-the corpus' own: so many robust spreads of the deviations above the median, and of those below it. Too
-high is noise, too low is boilerplate. Bands and counts are over all documents.
-
-At scale: three narrow passes over the texts (count, score, filter); what is shuffled are model
-counts and histograms of log perplexity, both of bounded size for a task. No document is shuffled.
-
-Defined results: a null or empty text has no words and fails the base rule. A language that is null or
-not among the largest is scored by the shared model. Repeated rows are judged alike. An empty table
-gives an empty one. Extra columns pass through.
+The language model is a character 4-gram model over the words of all documents, across word ends, with
+modified Kneser-Ney smoothing (Chen and Goodman 1998), one for each language. Symbols are code points as
+they are, and the model grows with the corpus: nothing of it is capped, collected or broadcast.
+
+1. Count: each task finds the distinct 4-grams of its block of texts, how often each occurs and how many
+   documents hold it, and writes them to the shared folder. Spark sums them by 4-gram. A document's
+   occurrences of a 4-gram count for the number of their binary digits (1 for 1, 2 for 2 or 3, 3 for 4 to 7),
+   so that a long text of junk doesn't outweigh many others.
+2. Smooth: the highest order counts so, lower orders count distinct left neighbours. A 4-gram that
+   one document alone holds isn't in the model, nor is anything that follows from it: else a document
+   would be scored by what it says itself, and noise would find itself likely. All of this is DataFrame
+   code over tables keyed by 4-gram, context or suffix.
+3. Score: the log probabilities go back by hash to the blocks that asked for them, where they meet the
+   block's texts as sorted hash arrays, searched by bisection.
+
+Each language has a lower and an upper band of log perplexity around the median of its documents, by
+classes of length, as the perplexity of short documents is less certain. The widths are the corpus' own:
+so many robust spreads of the deviations above the median, and of those below it. Too high is noise, too
+low is boilerplate. Bands and counts are over all documents.
+
+At scale: texts are read twice, once to count and once to be scored; for scoring they are compressed and
+shuffled once, to the hash arrays of their block. A block is a partition of the input (so a plain scan has
+blocks of spark.sql.files.maxPartitionBytes), and both passes must see the same partitions, which holds for
+tables; an input with a shuffle is written as one first, and a 4-gram that wasn't counted is an error, not a
+guess. What is shuffled besides is a row a distinct
+4-gram of a block. Contexts have at most as many rows as there are code points, so no window is unbounded.
+
+Defined results: a null or empty text has no words and fails the base rule. A null language is one of its
+own. Of a language with a single document the model is the uniform one over its symbols. Repeated rows are
+judged alike. An empty table gives an empty one. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,29 +37,33 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, utf8
+from .common import Scratch, free_name, utf8
 
-SYMBOLS = 64
-CODES = SYMBOLS**3
 #: Steps of log perplexity in the histograms, in nats.
 STEP = 0.002
-TOP = 4096
+TOP = 1 << 13
 #: Classes of length: powers of two of events, from 2**6 or fewer to 2**16 or more.
 CLASSES, FIRST_CLASS = 11, 6
-#: Rows counted or scored at a time.
-ROWS = 400
+#: Rows scored at a time, and 4-grams of documents that are gathered before they are merged.
+ROWS, GATHER = 400, 1 << 22
+#: The bits of a code point, and the symbols of one block's alphabet before it starts anew.
+BITS, ALPHABET = 21, 1 << 16
+#: Models whose discounts are broadcast (five numbers each); more are joined.
+BROADCAST_MODELS = 50_000
 # The characters that count as symbols.
 SYMBOL_CHARACTERS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
+EDGE = "\n"
 
 
 @dataclass(frozen=True)
@@ -57,141 +73,153 @@ class QualityPolicy:
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
-    max_models: int = 32
-    lower_width: float = 5.0
-    upper_width: float = 5.0
+    lower_width: float = 8.0
+    upper_width: float = 8.0
     least_spread: float = 0.01
     class_docs: int = 200
 
 
-@lru_cache(maxsize=1)
-def symbol_table() -> np.ndarray:
-    """Symbols of code points: 0 is the word boundary, 1-26 and 27-52 the letters (accents dropped), 53 digits, 54-58 ASCII punctuation, 59-63 all else."""
-    import unicodedata
-
-    table = (np.arange(0x110000) % 5 + 59).astype(np.uint8)
-    for cp in range(1, 0x250):
-        base = unicodedata.normalize("NFD", chr(cp))[0]
-        if "a" <= base <= "z":
-            table[cp] = ord(base) - 96
-        elif "A" <= base <= "Z":
-            table[cp] = ord(base) - 64 + 26
-        elif base.isdigit():
-            table[cp] = 53
-        elif cp < 128:
-            table[cp] = 54 if base in ".,;:" else 55 if base in "!?" else 56 if base in SYMBOL_CHARACTERS else 57 if base in "'\"()-" else 58
-    table[0] = 0
-    return table
-
-
-def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The trigram codes of words, each ending with its boundary, and how many each word has."""
-    text = "\0\0" + "\0\0".join(w.decode("utf-8", "surrogatepass").replace("\0", "\x01") for w in words) + "\0"
-    x = symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-    at = np.flatnonzero((x[2:] != 0) | (x[1:-1] != 0)) + 2
-    codes = (x[at - 2] << 12) | (x[at - 1] << 6) | x[at]
-    ends = np.flatnonzero(x[at] == 0)
-    return codes, np.diff(ends, prepend=-1)
-
-
-def model_groups(df: DataFrame, lang: str, max_models: int) -> list[str]:
-    """The languages with most documents, that have models of their own."""
+def model_of(lang: str) -> Column:
+    """The number of a language's model."""
     c = F.col(f"`{lang}`").cast("string")
-    top = df.where(c.isNotNull()).groupBy(c.alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_models - 1)
-    return sorted(r["l"] for r in top.collect())
+    return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c))
 
 
-def _of(groups: list[str]) -> dict:
-    return {g: i for i, g in enumerate(groups)}
+def code_points(words: list[bytes]) -> np.ndarray:
+    """Of the words, one space apart, with three edges before and one after."""
+    text = EDGE * 3 + b" ".join(words).decode("utf-8", "surrogatepass") + EDGE
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def count_trigrams(df: DataFrame, groups: list[str], lang: str, text: str) -> DataFrame:
-    """model, code, n over all documents."""
-    other, at = len(groups), _of(groups)
+def gram_hash(model: int, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, c4: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = np.full(len(c1), np.uint64(model & (1 << 64) - 1) * np.uint64(0xD6E8FEB86659FD93), np.uint64)
+        for c, k in ((c1, 0x9E3779B97F4A7C15), (c2, 0xC2B2AE3D27D4EB4F), (c3, 0xD1342543DE82EF95), (c4, 0xA0761D6478BD642F)):
+            h += (c.astype(np.uint64) + np.uint64(1)) * np.uint64(k)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def damped(n: np.ndarray) -> np.ndarray:
+    """What a document's n occurrences count for: the number of binary digits of n."""
+    return np.frexp(n)[1].astype(np.int64)
+
+
+class GramCounter:
+    """The distinct 4-grams of documents of one language: how many documents hold each, and what their occurrences count for."""
+
+    def __init__(self):
+        self.table = np.full(1 << BITS, -1, np.int32)
+        self.done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._anew()
+
+    def _anew(self) -> None:
+        self.symbols = np.zeros(0, np.uint32)
+        self.table.fill(-1)
+        self.grams, self.docs, self.counts, self.waiting, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, points: np.ndarray) -> None:
+        new = np.unique(points[self.table[points] < 0])
+        if len(self.symbols) + len(new) > ALPHABET:
+            self._flush()
+            new = np.unique(points)
+            if len(new) > ALPHABET:  # one document with that many symbols
+                every, n = np.unique(np.stack([points[k : len(points) - 3 + k] for k in range(4)]), axis=1, return_counts=True)
+                self.done.append((every, np.ones(len(n), np.int64), damped(n)))
+                return
+        self.table[new] = np.arange(len(self.symbols), len(self.symbols) + len(new))
+        self.symbols = np.concatenate([self.symbols, new])
+        x = self.table[points].astype(np.uint64)
+        codes = np.sort(x[:-3] << np.uint64(48) | x[1:-2] << np.uint64(32) | x[2:-1] << np.uint64(16) | x[3:])
+        at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        self.waiting.append((codes[at], damped(np.diff(at, append=len(codes)))))
+        self.size += len(at)
+        if self.size > GATHER:
+            self._merge()
+
+    def _merge(self) -> None:
+        if self.waiting:
+            grams, counts = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+            docs = np.concatenate([self.docs, np.ones(len(grams), np.int64)])
+            self.grams, at = np.unique(np.concatenate([self.grams, grams]), return_inverse=True)
+            self.docs, self.counts = (np.bincount(at, x, len(self.grams)).astype(np.int64) for x in (docs, np.concatenate([self.counts, counts])))
+            self.waiting, self.size = [], 0
+
+    def _flush(self) -> None:
+        self._merge()
+        if len(self.grams):
+            parts = [self.symbols[(self.grams >> np.uint64(shift)) & np.uint64(ALPHABET - 1)] for shift in (48, 32, 16, 0)]
+            self.done.append((np.stack(parts), self.docs, self.counts))
+        self._anew()
+
+    def result(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Four rows of code points, documents, counts; a 4-gram may come more than once, each time for other documents."""
+        self._flush()
+        yield from self.done
+
+
+def count_grams(df: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """block, model, hash, the first code point, the middle two in one number, the last, the documents of the block that hold the 4-gram, and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                b = whole.slice(i, ROWS)
-                words: dict[int, Counter] = {}
-                for g, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    words.setdefault(at.get(g, other), Counter()).update(utf8(t.as_py()).split())
-                for m, c in words.items():
-                    if c:
-                        codes, lengths = trigrams(list(c))
-                        weights = np.repeat(np.fromiter(c.values(), np.float64, len(c)), lengths)
-                        sums[m] = sums.get(m, 0) + np.bincount(codes, weights, CODES).astype(np.int64)
-        for m, s in sums.items():
-            found = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), m, np.int32)), pa.array(found.astype(np.int32)), pa.array(s[found])], names=["model", "code", "n"])
-
-    rows = df.select(F.col(f"`{lang}`").cast("string").alias("l"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "model int, code int, n long")
-    return rows.groupBy("model", "code").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Of counts 0, 1, 2 and 3 or more; half of what is left where the counts of counts don't give one."""
-    n = [0, *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
-    out = [0.0]
-    for k in (1, 2, 3):
-        d = k - (k + 1) * y * n[k + 1] / n[k] if n[k] and y else 0.5
-        out.append(min(max(d, 0.05), float(k)))
-    return np.array(out)
-
-
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted trigram codes, their log probabilities, and by two symbols: the log weight of backing off, and the log probability of the second after the first."""
-    order = np.argsort(codes)
-    codes, counts = codes[order].astype(np.int64), counts[order].astype(np.float64)
-
-    def level(keys: np.ndarray, n: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted probabilities of keys, and back-off weights of contexts (unseen: 1)."""
-        d = discounts(n)[np.minimum(n, 3).astype(int)]
-        context = keys // SYMBOLS
-        total = np.bincount(context, n, contexts)
-        cut = np.bincount(context, d, contexts)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            back = np.where(total > 0, cut / total, 1.0)
-        return (n - d) / total[context], back
-
-    p3, back3 = level(codes, counts, SYMBOLS**2)
-    pairs, n2 = np.unique(codes % SYMBOLS**2, return_counts=True)  # how many symbols come before each pair
-    p2, back2 = level(pairs, n2.astype(np.float64), SYMBOLS)
-    singles, n1 = np.unique(pairs % SYMBOLS, return_counts=True)
-    p1, back1 = level(singles, n1.astype(np.float64), 1)
-    one = np.full(SYMBOLS, back1[0] / SYMBOLS)
-    one[singles] += p1
-    two = (back2[:, None] * one[None, :]).ravel()
-    two[pairs] += p2
-    three = p3 + back3[codes // SYMBOLS] * two[codes % SYMBOLS**2]
-    return codes.astype(np.int32), np.log(three).astype(np.float32), np.log(back3).astype(np.float32), np.log(two).astype(np.float32)
-
-
-@dataclass
-class Model:
-    """Sorted hash arrays."""
-
-    keys: np.ndarray
-    logp: np.ndarray
-    back: np.ndarray
-    two: np.ndarray
-
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
-        return np.where(self.keys[at] == codes, self.logp[at], self.back[codes >> 6] + self.two[codes & (SYMBOLS**2 - 1)])
-
-
-def train(df: DataFrame, groups: list[str], lang: str = "lang", text: str = "text") -> dict[int, Model]:
-    """A model a group; each is built in a task of its own, from 2**18 rows at most, and comes back as packed arrays."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        arrays = kneser_ney(pdf["code"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame([[int(pdf["model"].iloc[0]), *(a.tobytes() for a in arrays)]], columns=["model", "keys", "logp", "back", "two"])
-
-    rows = count_trigrams(df, groups, lang, text).groupBy("model").applyInPandas(build, "model int, keys binary, logp binary, back binary, two binary").collect()
-    return {r["model"]: Model(np.frombuffer(r["keys"], np.int32), *(np.frombuffer(r[c], np.float32) for c in ("logp", "back", "two"))) for r in rows}
+        block = TaskContext.get().partitionId()
+        counters: dict[int, GramCounter] = {}
+        for b in batches:
+            for m, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = utf8(t.as_py()).split()
+                if words:
+                    counters.setdefault(m, GramCounter()).add(code_points(words))
+        for m, counter in counters.items():
+            for (c1, c2, c3, c4), docs, n in counter.result():
+                k = len(n)
+                columns = [np.full(k, block, np.int32), np.full(k, m, np.int64), gram_hash(m, c1, c2, c3, c4).view(np.int64), c1.astype(np.int32), c2.astype(np.int64) << BITS | c3, c4.astype(np.int32), docs, n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "model", "hash", "first", "middle", "last", "docs", "n"])
+
+    rows = df.select(model_of(lang).alias("m"), F.col(f"`{text}`").cast("string").alias("t"))
+    return rows.mapInArrow(run, "block int, model long, hash long, first int, middle long, last int, docs long, n long")
+
+
+def discounts(table: DataFrame) -> DataFrame:
+    """By model, the discounts of counts 1, 2 and 3 or more in column n; half of what is left where the counts of counts don't give one."""
+    ones = table.groupBy("model").agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
+    def one(k: int) -> Column:
+        ok = (F.col("n1") > 0) & (F.col(f"n{k}") > 0)
+        return F.least(F.greatest(F.when(ok, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5), F.lit(0.05)), F.lit(float(k)))
+
+    return ones.select("model", *(one(k).alias(f"d{k}") for k in (1, 2, 3)))
+
+
+def level(scratch: Scratch, table: DataFrame, context: list[str]) -> DataFrame:
+    """Adds own, the discounted probability of a row in its context, and back, the weight of the lower order there. Rows that aren't seen are not in the model."""
+    found = scratch.keep(discounts(table))
+    small = found.count() <= BROADCAST_MODELS
+    d = F.when(F.col("n") >= 3, F.col("d3")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d1"))
+    seen = F.col("seen")
+    over = W.partitionBy("model", *context)
+    rows = table.join(F.broadcast(found) if small else found, "model").withColumn("d", F.when(seen, d).otherwise(0.0)).drop("d1", "d2", "d3")
+    rows = rows.withColumn("total", F.sum(F.when(seen, F.col("n")).otherwise(0)).over(over)).withColumn("cut", F.sum("d").over(over))
+    own = F.when(seen, (F.col("n") - F.col("d")) / F.col("total")).otherwise(0.0)
+    return rows.withColumn("own", own).withColumn("back", F.when(F.col("total") > 0, F.col("cut") / F.col("total")).otherwise(1.0)).drop("d", "total", "cut")
+
+
+def log_probabilities(scratch: Scratch, grams: DataFrame) -> DataFrame:
+    """hash, logp of all 4-grams in the output of count_grams, those that aren't in the model too."""
+    of = F.count_if("seen").alias("n"), F.bool_or("seen").alias("seen")
+    every = scratch.keep(grams.groupBy("model", "middle", "first", "last").agg(F.sum("n").alias("n"), (F.sum("docs") >= 2).alias("seen"), F.any_value("hash").alias("hash")))
+    third = scratch.keep(every.groupBy("model", "middle", "last").agg(*of))
+    inner = F.col("middle").bitwiseAND(F.lit((1 << BITS) - 1)).alias("inner")
+    second = scratch.keep(third.groupBy("model", inner, "last").agg(*of))
+    single = scratch.keep(second.groupBy("model", "last").agg(*of))
+    uniform = 1.0 / F.count(F.lit(1)).over(W.partitionBy("model"))
+    p = scratch.keep(level(scratch, single, []).select("model", "last", (F.col("own") + F.col("back") * uniform).alias("p")))
+    p = scratch.keep(level(scratch, second, ["inner"]).join(p, ["model", "last"]).select("model", "inner", "last", (F.col("own") + F.col("back") * F.col("p")).alias("p")))
+    p = level(scratch, third, ["middle"]).withColumn("inner", inner).join(p, ["model", "inner", "last"]).select("model", "middle", "last", (F.col("own") + F.col("back") * F.col("p")).alias("p"))
+    top = level(scratch, every, ["middle", "first"]).join(p, ["model", "middle", "last"])
+    return top.select("hash", F.log(F.col("own") + F.col("back") * F.col("p")).cast("float").alias("logp"))
 
 
 def repeated_words(ids: np.ndarray, doc: np.ndarray, n_docs: int, window: int) -> np.ndarray:
@@ -237,53 +265,72 @@ def base_counts(text: str | None) -> tuple[int, int, int]:
 SCORES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lm_model", "lm_events", "log_perplexity")
 
 
-def score_batch(groups: list, texts: list, at: dict, models: dict[int, Model], policy: QualityPolicy) -> list[np.ndarray]:
+def base_batch(words: list[list[bytes]], texts: list, policy: QualityPolicy) -> list[np.ndarray]:
+    """The first five of SCORES."""
     n = len(texts)
-    words = [utf8(t).split() for t in texts]
     base = np.array([base_counts(t) for t in texts], np.int64).reshape(n, 3)
     n_words = np.fromiter(map(len, words), np.int64, n)
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
-    ids = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
-    doc = np.repeat(np.arange(n), n_words)
-    repeats = repeated_words(ids, doc, n, policy.window)
-    group = np.array([at.get(g, len(at)) for g in groups], np.int32)
-    cost, events = np.zeros(n), np.zeros(n, np.int64)
-    if vocabulary:
-        codes, lengths = trigrams(list(vocabulary))
-        first = np.cumsum(lengths) - lengths
-        for m in np.unique(group):
-            if m in models:
-                mine = group[doc] == m
-                by_word = np.add.reduceat(models[m].score(codes).astype(np.float64), first)
-                cost += np.bincount(doc[mine], -by_word[ids[mine]], n)
-        events = np.bincount(doc, lengths[ids], n).astype(np.int64)
-    return [n_words, base[:, 0], base[:, 1], base[:, 2], repeats, group, events, cost / np.maximum(events, 1)]
-
-
-def score(df: DataFrame, groups: list[str], models: dict[int, Model], policy: QualityPolicy, lang: str, text: str, keep: list[str]) -> DataFrame:
-    """Adds SCORES to the columns in keep. Batches are scored a few rows at a time, so memory follows the longest texts alone."""
-    spark = df.sparkSession
-    sent, at = spark.sparkContext.broadcast(models), _of(groups)
-    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    types = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.float64()]
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
+    repeats = repeated_words(ids, np.repeat(np.arange(n), n_words), n, policy.window)
+    return [n_words, base[:, 0], base[:, 1], base[:, 2], repeats]
+
+
+def perplexities(words: list[list[bytes]], models: list[int], keys: np.ndarray, logp: np.ndarray) -> list[np.ndarray]:
+    """The events and the log perplexity of texts, by a sorted hash array."""
+    events, cost = np.zeros(len(words), np.int64), np.zeros(len(words))
+    for i, (w, m) in enumerate(zip(words, models, strict=True)):
+        if w:
+            x = code_points(w)
+            grams, n = np.unique(gram_hash(m, x[:-3], x[1:-2], x[2:-1], x[3:]), return_counts=True)
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            if len(keys) == 0 or not (keys[at] == grams).all():
+                raise RuntimeError("a text has n-grams that weren't counted in its block: the input's partitions differ between two reads; write it as a table first")
+            events[i] = len(x) - 3
+            cost[i] = -(n * logp[at].astype(np.float64)).sum() / events[i]
+    return [events, cost]
+
+
+def score(scratch: Scratch, df: DataFrame, policy: QualityPolicy, lang: str, text: str, keep: list[str]) -> DataFrame:
+    """The columns in keep, then SCORES; columns whose names clash with those of SCORES are left to the caller. Written to the shared folder."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = scratch.keep(df)
+    grams = scratch.keep(count_grams(df, lang, text))
+    answers = grams.select("block", "hash").join(scratch.keep(log_probabilities(scratch, grams)), "hash")
     n = len(keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the block, a few together, compressed."""
+        block = TaskContext.get().partitionId()
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
-                b = whole.slice(i, ROWS)
-                out = score_batch(b.column(where[0]).to_pylist(), b.column(where[1]).to_pylist(), at, sent.value, policy)
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(o, t) for o, t in zip(out, types, strict=True))], names=[*keep, *SCORES])
-
-    extra, where = [], []  # columns that are kept anyway aren't sent twice
-    for c, name in ((lang, "_l"), (text, "_t")):
-        if c in keep and df.schema[c].dataType.simpleString() == "string":
-            where.append(keep.index(c))
-        else:
-            where.append(n + len(extra))
-            extra.append(F.col(f"`{c}`").cast("string").alias(free_name(name, keep)))
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), *extra)
-    return rows.mapInArrow(run, (kept + ", " if kept else "") + "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lm_model int, lm_events long, log_perplexity double")
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, whole.schema, options=options) as writer:
+                    writer.write_batch(whole.slice(i, ROWS))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.large_binary())], names=["block", "rows"])
+
+    types = [pa.int64()] * 7 + [pa.float64()]
+    kept = [df.schema[c].dataType.simpleString() for c in keep]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(keep, kept, strict=True)), *(f"{c} long" for c in SCORES[:-1]), f"{SCORES[-1]} double"])
+
+    def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+        hashes = found.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        keys, logp = hashes[order], found.column("logp").to_numpy()[order]
+        out = []
+        for chunk in texts.column("rows").chunks:
+            for rows in chunk:
+                for b in pa.ipc.open_stream(rows.as_buffer()):
+                    models, plain = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
+                    words = [utf8(t).split() for t in plain]
+                    made = [*base_batch(words, plain, policy), np.array(models, np.int64), *perplexities(words, models, keys, logp)]
+                    out.append(pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names=[*keep, *SCORES]))
+        return pa.Table.from_batches(out)
+
+    extra = [model_of(lang).alias(free_name("_model", keep)), F.col(f"`{text}`").cast("string").alias(free_name("_text", keep))]
+    texts = df.select(*(F.col(f"`{c}`") for c in keep), *extra).mapInArrow(packed, "block int, rows binary")
+    return scratch.keep(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema))
 
 
 def base_failed(policy: QualityPolicy):
@@ -306,46 +353,52 @@ def spreads(hist: np.ndarray, policy: QualityPolicy) -> tuple[float, float, floa
     return (middle + 0.5) * STEP, side(hist[middle::-1]), side(hist[middle:])
 
 
-def bands(scored: DataFrame, policy: QualityPolicy) -> dict[tuple[int, int], tuple[float, float]]:
-    """By model and class of length, the least and the largest log perplexity that is kept, from histograms of all documents that pass the base rule."""
+def bands(scored: DataFrame, policy: QualityPolicy) -> DataFrame:
+    """lm_model, length_class, low, high: the least and the largest log perplexity that is kept, from histograms of all documents that pass the base rule.
+
+    A model's histogram has CLASSES * TOP rows at most.
+    """
     step = F.least(F.greatest(F.floor(F.col("log_perplexity") / STEP), F.lit(0)), F.lit(TOP - 1)).cast("int")
-    rows = scored.where(~base_failed(policy)).groupBy("lm_model", length_class().alias("c"), step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()  # max_models * CLASSES * TOP rows at most
-    hists: dict[int, np.ndarray] = {}
-    for r in rows:
-        hists.setdefault(r["lm_model"], np.zeros((CLASSES, TOP), np.int64))[r["c"], r["s"]] = r["n"]
-    out = {}
-    for m, hist in hists.items():
-        whole = spreads(hist.sum(axis=0), policy)
+    rows = scored.where(~base_failed(policy)).groupBy("lm_model", length_class().alias("c"), step.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        hist = np.zeros((CLASSES, TOP), np.int64)
+        hist[pdf["c"], pdf["s"]] = pdf["n"]
+        whole, out = spreads(hist.sum(axis=0), policy), []
         for c in range(CLASSES):
             middle, below, above = spreads(hist[c], policy) if hist[c].sum() >= policy.class_docs else whole
-            out[m, c] = (middle - policy.lower_width * below, middle + policy.upper_width * above)
-    return out
+            out.append((int(pdf["lm_model"].iloc[0]), c, middle - policy.lower_width * below, middle + policy.upper_width * above))
+        return pd.DataFrame(out, columns=["lm_model", "length_class", "low", "high"])
+
+    return rows.groupBy("lm_model").applyInPandas(one, "lm_model long, length_class int, low double, high double")
 
 
-def verdict(found: dict[tuple[int, int], tuple[float, float]], policy: QualityPolicy):
-    """Whether a scored row is kept."""
-    if not found:
-        return ~base_failed(policy)
-    n = (max(m for m, _ in found) + 1) * CLASSES
-    at = F.col("lm_model") * CLASSES + length_class()
-    low, high = (F.get(F.array(*(F.lit(found.get(divmod(i, CLASSES), (0.0, float("inf")))[k]) for i in range(n))), at) for k in (0, 1))
-    return ~base_failed(policy) & F.coalesce(F.col("log_perplexity").between(low, high), F.lit(True))
+def with_verdict(scratch: Scratch, scored: DataFrame, policy: QualityPolicy) -> DataFrame:
+    """Adds base_failed and kept."""
+    found = scratch.keep(bands(scored, policy))
+    if found.count() <= CLASSES * BROADCAST_MODELS:
+        found = F.broadcast(found)
+    names = {c: f"_band_{c}" for c in ("lm_model", "length_class", "low", "high")}
+    found = found.withColumnsRenamed(names)
+    on = (F.col("lm_model") == F.col("_band_lm_model")) & (length_class() == F.col("_band_length_class"))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("_band_low"), F.col("_band_high")), F.lit(True))
+    rows = scored.join(found, on, "left").withColumn("base_failed", base_failed(policy))
+    return rows.withColumn("kept", ~F.col("base_failed") & inside).drop(*names.values())
 
 
 def judge(df: DataFrame, policy: QualityPolicy = QualityPolicy(), doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """doc_id, SCORES, base_failed, kept. The scores are written to the shared folder, as the bands need them all."""
-    groups = model_groups(df, lang, policy.max_models)
-    models = train(df, groups, lang, text)
-    scored = materialize(score(df, groups, models, policy, lang, text, [doc_id]))
-    return scored.select("*", base_failed(policy).alias("base_failed"), verdict(bands(scored, policy), policy).alias("kept"))
+    """doc_id, SCORES, base_failed, kept."""
+    scratch = Scratch(df.sparkSession, "quality")
+    key = free_name("_key", [*SCORES, "base_failed", "kept"])
+    aside = df.select(F.col(f"`{doc_id}`").alias(key), F.col(f"`{lang}`").alias("_l"), F.col(f"`{text}`").alias("_t"))
+    done = with_verdict(scratch, score(scratch, aside, policy, "_l", "_t", [key]), policy)
+    return scratch.last(done.withColumnRenamed(key, doc_id))
 
 
 def keep_good(df: DataFrame, policy: QualityPolicy = QualityPolicy(), lang: str = "lang", text: str = "text") -> DataFrame:
-    """The rows that are kept, with their own columns. Texts are read once more instead of being written."""
-    groups = model_groups(df, lang, policy.max_models)
-    models = train(df, groups, lang, text)
-    found = bands(score(df, groups, models, policy, lang, text, []), policy)
-    safe = {c: free_name(f"_{i}", df.columns) for i, c in enumerate(df.columns)}
-    aside = df.withColumnsRenamed(safe)
-    kept = score(aside, groups, models, policy, safe[lang], safe[text], [safe[c] for c in df.columns]).where(verdict(found, policy))
-    return kept.select(*(F.col(safe[c]).alias(c) for c in df.columns))
+    """The rows that are kept, with their own columns. Rows are scored once and written with their scores; the bands then filter them."""
+    scratch = Scratch(df.sparkSession, "quality")
+    safe = {c: f"_{i}" for i, c in enumerate(df.columns)}
+    aside = df.toDF(*safe.values())
+    done = with_verdict(scratch, score(scratch, aside, policy, safe[lang], safe[text], list(safe.values())), policy)
+    return scratch.last(done.where("kept").select(*(F.col(safe[c]).alias(c) for c in df.columns)))
