@@ -170,7 +170,9 @@ def count_grams(df: DataFrame, lang: str = "lang", text: str = "text") -> DataFr
             for m, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = utf8(t.as_py()).split()
                 if words:
-                    counters.setdefault(m, GramCounter()).add(code_points(words))
+                    if m not in counters:
+                        counters[m] = GramCounter()
+                    counters[m].add(code_points(words))
         for m, counter in counters.items():
             for (c1, c2, c3, c4), docs, n in counter.result():
                 k = len(n)
