@@ -89,5 +89,11 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def unlike(columns: Iterable[str], results: Iterable[str]) -> list[str]:
+    """The columns whose names don't clash with those of results, whatever their case: results replace the others."""
+    low = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in low]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

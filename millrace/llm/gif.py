@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, utf8
+from .common import free_name, unlike, utf8
 
 WIDTH = 64
 FRAME_ROWS = 1024
@@ -136,6 +136,8 @@ def _blocks(raw: bytes) -> bytes:
     return b"".join(bytes([len(raw[i : i + 255])]) + raw[i : i + 255] for i in range(0, len(raw), 255)) + b"\0"
 
 
+#: The largest canvas and frame that are decoded, in pixels of four bytes.
+MAX_PIXELS = 1 << 26
 GREYS = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -177,19 +179,23 @@ def histogram(canvas: np.ndarray) -> list[int]:
     return [int(v) for c in range(3) for v in np.bincount(shown[:, c] >> 5, minlength=8)]
 
 
-def decode(raw: bytes, keep_canvas: bool = True) -> Gif:
+def decode(raw: bytes | None, keep_canvas: bool = True, max_pixels: int = MAX_PIXELS) -> Gif:
+    """The frames up to the first fault, and the fault. A canvas or a frame of over max_pixels is a fault: a header of a few bytes may ask for gigabytes."""
     gif = Gif()
+    if raw is None:
+        gif.error = "no media"
+        return gif
     try:
-        for f in _frames(raw, gif):
+        for f in _frames(raw, gif, max_pixels):
             if not keep_canvas:
                 f.canvas = None
             gif.frames.append(f)
-    except (ValueError, IndexError) as e:
+    except (ValueError, IndexError, MemoryError) as e:
         gif.error = str(e) or type(e).__name__
     return gif
 
 
-def _frames(raw: bytes, gif: Gif) -> Iterator[Frame]:
+def _frames(raw: bytes, gif: Gif, max_pixels: int) -> Iterator[Frame]:
     if raw[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     u16 = lambda at: raw[at] | raw[at + 1] << 8
@@ -198,6 +204,8 @@ def _frames(raw: bytes, gif: Gif) -> Iterator[Frame]:
     if flags & 128:
         n = 2 << (flags & 7)
         shared, at = np.frombuffer(raw, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
+    if gif.width * gif.height > max_pixels:
+        raise ValueError(f"a canvas of {gif.width} x {gif.height} pixels")
     canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
     delay = disposal = 0
     clear = None
@@ -217,6 +225,8 @@ def _frames(raw: bytes, gif: Gif) -> Iterator[Frame]:
         if kind != 0x2C:
             raise ValueError(f"unknown block {kind}")
         x, y, w, h, flags, at = u16(at), u16(at + 2), u16(at + 4), u16(at + 6), raw[at + 8], at + 9
+        if w * h > max_pixels:
+            raise ValueError(f"a frame of {w} x {h} pixels")
         palette = shared
         if flags & 128:
             n = 2 << (flags & 7)
@@ -265,7 +275,7 @@ def padded(raw: bytes) -> bytes:
 
 def encode_texts(df: DataFrame, text: str = "text", media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
     """Replaces the text by its bytes as a GIF, and their number without padding; keeps the other columns."""
-    kept = [c for c in df.columns if c not in (text, media, n_bytes)]
+    kept = unlike(df.columns, (text, media, n_bytes))
     names, n = [*kept, n_bytes, media], len(kept)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{n_bytes}` long, `{media}` binary"])
 
@@ -288,7 +298,7 @@ def decode_frames(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                gif = decode(b.column(1)[i].as_py() or b"", keep_canvas=False)
+                gif = decode(b.column(1)[i].as_py(), keep_canvas=False)
                 rows = [(k, f.delay_ms, f.disposal, f.width, f.height, f.samples, f.histogram, gif.error) for k, f in enumerate(gif.frames)] or [(None,) * 7 + (gif.error,)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(rows))), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
 
@@ -297,20 +307,25 @@ def decode_frames(df: DataFrame, key: str, media: str = "media") -> DataFrame:
 
 
 def media_digest(df: DataFrame, media: str = "media") -> DataFrame:
-    """Replaces the media by what reading it back gives: payload and media sizes and digests, and a feature of its frames."""
-    kept = [c for c in df.columns if c != media]
-    names, n = [*kept, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], len(kept)
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"])
-
-    def digest(raw: bytes) -> tuple:
+    """Replaces the media by what reading it back gives: payload and media sizes and digests, a feature of its frames, and the error.
+
+    Null media give nulls and an error. Of a damaged image, payload and feature are those of the frames up to the damage.
+    Columns that have the name of a result are replaced.
+    """
+    results = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
+    kept = unlike([c for c in df.columns if c != media], results)
+    names, n = [*kept, *results], len(kept)
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"])
+
+    def digest(raw: bytes | None) -> tuple:
         gif = decode(raw, keep_canvas=False)
-        if gif.error:
-            raise ValueError(gif.error)
+        if raw is None:
+            return None, None, None, None, None, None, gif.error
         payload = b"".join(f.samples for f in gif.frames)
-        shown = [sum(v) for v in zip(*(f.histogram for f in gif.frames), strict=True)]
+        shown = [sum(v) for v in zip(*(f.histogram for f in gif.frames), strict=True)] or [0] * 24
         feature = f"{gif.width}x{gif.height};{len(gif.frames)} frames;{sum(f.delay_ms for f in gif.frames)} ms;rgb8:{','.join(map(str, shown))}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), feature
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, gif.error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -319,4 +334,4 @@ def media_digest(df: DataFrame, media: str = "media") -> DataFrame:
                 out = zip(*(digest(m.as_py()) for m in b.column(n)), strict=True)
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(list(c), t) for c, t in zip(out, types, strict=True))], names=names)
 
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{media}`")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{media}`").alias(free_name("_media", kept))).mapInArrow(run, schema)

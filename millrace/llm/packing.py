@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import free_name, materialize, unlike
 
 #: Entries of a worker's cache of chunks; when it is full, it starts anew.
 CACHE = 1 << 20
@@ -266,7 +266,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", per_bucket: i
     The rows are written to the shared folder first, with a row number, so that ranks stay as they are.
     """
     row, bucket, within, rank = (free_name(n, pieces.columns) for n in ("_row", "_bucket", "_within", "_rank"))
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    kept = unlike(pieces.columns, ("sequence_id", "offset"))
     rows = materialize(pieces.select(*(f"`{c}`" for c in kept)).withColumn(row, F.monotonically_increasing_id()))
     counts = {r[0]: r[1] for r in rows.groupBy(f"`{length}`").agg(F.count(F.lit(1))).collect()}  # capacity rows at most
     runs, _ = best_fit_decreasing(counts, capacity)

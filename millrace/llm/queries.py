@@ -26,6 +26,7 @@ def op3_sql() -> str:
     hit = lambda t: f"regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}]){t}([^\\p{{L}}\\p{{N}}]|$)')"
     strict = " + ".join(f"{hit(t)}::INT" for t in urls.STRICT)
     soft = " + ".join(f"{w} * {hit(t)}::INT" for t, w in urls.SOFT)
+    distinct = " + ".join(f"{hit(t)}::INT" for t, _ in urls.SOFT)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 WITH rules(verdict, rule, rhost, rpath) AS (VALUES {rules}),
@@ -38,8 +39,8 @@ parts AS (
 fits AS (
   SELECT p.rid, r.rule, r.verdict, row_number() OVER (PARTITION BY p.rid ORDER BY length(r.rule) DESC, length(r.rhost) DESC) AS k
   FROM parts p JOIN rules r ON (p.host = r.rhost OR p.host LIKE '%.' || r.rhost) AND starts_with(p.path, r.rpath)),
-hits AS (SELECT rid, ({strict})::INT AS n_strict, ({soft})::INT AS soft_weight FROM parts)
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN n_strict > 0 OR soft_weight >= 2 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, soft_weight
+hits AS (SELECT rid, ({strict})::INT AS n_strict, ({soft})::INT AS soft_weight, {distinct} AS n_soft FROM parts)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN n_strict > 0 OR (soft_weight >= {urls.UrlPolicy().soft_limit} AND n_soft >= {urls.UrlPolicy().soft_terms}) THEN 'block' ELSE 'allow' END) AS verdict, n_strict, soft_weight
 FROM parts p JOIN hits USING (rid) LEFT JOIN fits f ON f.rid = p.rid AND f.k = 1"""
 
 
@@ -79,7 +80,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = docs.select("doc_id", "lang", "source", "n_chars", (F.length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     dims = [hilbert.Dimension("n_chars"), hilbert.Dimension("lang", "category"), hilbert.Dimension("source", "category")]
-    done = hilbert.hilbert_shards(slim, dims, SHARDS, ["doc_id", "text_crc32"])
+    done = hilbert.hilbert_shards(slim, dims, SHARDS, ["text_crc32", "doc_id"])
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 

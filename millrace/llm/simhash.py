@@ -1,19 +1,19 @@
 """SimHash near-duplicates through an inverted index over byte positions with count filtering.
 
-A fingerprint has 64 bits from the XXH64 hashes of the 3-word shingles. Two fingerprints link at
-max_bits = 2 or fewer differing bits, so they differ in two bytes at most and share the other six.
-Bytes are paired into four positions; two linked fingerprints agree on two of the four at least, so a
-posting list for each choice of two positions (32 bits) holds every link. Within a list the shared
-positional bytes of a pair are tallied, pairs with six or more are retained, and verified by counting
-the differing bits.
+A fingerprint has 64 bits from the XXH64 hashes of the 3-word shingles. Two fingerprints link at max_bits
+or fewer differing bits, so they differ in max_bits bytes at most and share the other positions: with two
+bits, at least six of eight positional bytes. That is the guaranteed minimum of matches, and postings are
+keyed by it: one list for each choice of six positions and their six bytes (28 for a fingerprint). A pair
+gets into a list, and is tallied there, only if it reaches the minimum; a pair that shares seven bytes meets
+in seven lists. Retained pairs are verified by counting the differing bits.
 
-Lists longer than list_limit are never paired: their members go the exact other way, in which each
-emits itself and its 64 one-bit neighbours, and members that meet at one point (65 at most, all within
-two bits of each other) are linked to the smallest of them. That finds every link's component too.
+The members of a list differ in two bytes alone, so a list has 65,536 members at most, however large the
+corpus and however dense a group of near copies. Each member has 136 others within two bits there, so the
+links of a list are bounded by its length: pairs are never enumerated.
 
 At scale: texts are read once, in Arrow batches, and only (doc_id, fingerprint) goes on. Equal
 fingerprints are pre-aggregated before any shuffle, so a group of copies with a third of all rows is
-one node. Lists grow with the number of distinct fingerprints over 2**32, and hot ones are linear.
+one node. Postings are sorted within partitions and streamed, a list at a time.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero, linked like any other.
 Fewer than three words: one shingle, the whole sequence. component_id is the smallest doc_id reachable;
@@ -82,46 +82,75 @@ def fingerprints(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _bits_apart(a, b):
-    return F.bit_count(a.bitwiseXOR(b))
+def _masks(max_bits: int) -> np.ndarray:
+    """Of each choice of 8 - max_bits positions, the bits of those bytes."""
+    return np.array([sum(255 << 8 * i for i in kept) for kept in combinations(range(8), 8 - max_bits)], np.uint64)
 
 
-def _shared_bytes(a, b):
-    """Positions, of eight, at which two fingerprints have the same byte."""
-    x = a.bitwiseXOR(b)
-    return sum((F.when(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
-
+def list_links(members: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """u < v (as signed numbers): the pairs of a list's distinct fingerprints within max_bits bits of each other, each found from its first by its neighbours in the sorted list."""
+    if len(members) <= 64:
+        a, b = np.triu_indices(len(members), 1)
+        near = np.bitwise_count(members[a] ^ members[b]) <= max_bits
+        a, b = members[a[near]], members[b[near]]
+    else:
+        members = np.sort(members)
+        free = np.flatnonzero(np.unpackbits(np.array([np.bitwise_or.reduce(members ^ members[0])], "<u8").view(np.uint8), bitorder="little"))  # bits in which members differ
+        flips = [sum(1 << int(b) for b in some) for k in range(1, max_bits + 1) for some in combinations(free, k)]
+        a, b = [], []
+        for flip in flips:
+            other = members ^ np.uint64(flip)
+            at = np.minimum(np.searchsorted(members, other), len(members) - 1)
+            hit = (members[at] == other) & (members < other)
+            a.append(members[hit])
+            b.append(other[hit])
+        a, b = np.concatenate(a), np.concatenate(b)
+    a, b = a.view(np.int64), b.view(np.int64)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
+    """prints: distinct fp. Returns u, v, lists: all linked pairs, and the number of lists in which they met."""
+    if not 1 <= max_bits <= 2:
+        raise ValueError("with more than two bits the lists are no longer short")
+    masks = _masks(max_bits)
 
-def links(prints: DataFrame, max_bits: int = 2, list_limit: int = 64) -> DataFrame:
-    """prints: distinct fp. Returns u, v: links that leave no two linked fingerprints unconnected."""
-    if max_bits != 2:
-        raise ValueError("the positions below hold for two bits")
-    half = [F.shiftright(F.col("fp"), 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = F.array(*(F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(half[i], 16)).bitwiseOR(half[j]) for n, (i, j) in enumerate(combinations(range(4), 2))))
-    postings = prints.select("fp", F.explode(keys).alias("key"))
-    lengths = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    short = postings.join(lengths.where(F.col("n") <= list_limit), "key").select("key", "fp")
-    lists = short.repartition("key").groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("l"))  # at most list_limit
-    ok = lambda x, y: (_shared_bytes(x, y) >= 8 - max_bits) & (_bits_apart(x, y) <= max_bits)
-    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, F.size("l")), lambda y: ok(x, y)), lambda y: F.struct(x.alias("u"), y.alias("v")))))
-    near = lists.select(F.explode(pairs).alias("p")).select("p.u", "p.v")
-    long = postings.join(lengths.where(F.col("n") > list_limit), "key").select("fp").distinct()
-    ball = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(64)))
-    meet = long.select("fp", F.explode(ball).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("l")).where(F.size("l") > 1)  # at most 65
-    star = meet.select(F.array_min("l").alias("u"), F.explode("l").alias("v")).where("u <> v")
-    return near.unionByName(star).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest_n, rest_fp = np.zeros(0, np.int32), np.zeros(0, np.uint64)
 
+        def pairs(n: np.ndarray, fp: np.ndarray, key: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in np.flatnonzero(np.diff(edges) > 1):
+                u, v = list_links(fp[edges[i] : edges[i + 1]], max_bits)
+                us.append(u), vs.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 2, list_limit: int = 64) -> DataFrame:
+        for b in batches:
+            n = np.concatenate([rest_n, b.column(0).to_numpy()])
+            fp = np.concatenate([rest_fp, b.column(1).to_numpy().view(np.uint64)])
+            key = fp & masks[n]
+            edges = np.concatenate([[0], np.flatnonzero((n[1:] != n[:-1]) | (key[1:] != key[:-1])) + 1])  # where lists begin; the last may go on in the next batch
+            rest_n, rest_fp = n[edges[-1] :], fp[edges[-1] :]
+            yield pairs(n, fp, key, edges)
+        if len(rest_fp) > 1:
+            yield pairs(rest_n, rest_fp, rest_fp, np.array([0, len(rest_fp)]))
+
+    signed = [int(m) for m in masks.view(np.int64)]
+    postings = prints.select("fp", F.posexplode(F.array(*(F.lit(m).cast("long") for m in signed))).alias("n", "mask")).select("n", "fp", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    dealt = postings.repartition("n", "key").sortWithinPartitions("n", "key").select("n", "fp")
+    return dealt.mapInArrow(run, "u long, v long").groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"))
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 2) -> DataFrame:
     """doc_id, fp (signed long), component_id: a row for each row."""
     prints = materialize(fingerprints(df, doc_id, text))
-    return prints.join(classes(prints, max_bits, list_limit).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes(prints, max_bits).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def classes(prints: DataFrame, max_bits: int = 2, list_limit: int = 64) -> DataFrame:
+def classes(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """prints: doc_id, fp. Returns fp, least (its smallest doc_id), component_id, and is_first: whether this fingerprint stands for its component."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = materialize(components(links(nodes.select("fp"), max_bits, list_limit)))
+    roots = materialize(components(links(nodes.select("fp"), max_bits)))
     linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root")
     order = F.struct(F.col("least").isNull(), F.col("least"), F.col("fp"))
     heads = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.min(order).alias("head"))

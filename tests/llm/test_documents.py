@@ -57,11 +57,10 @@ def corpus(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("limit", [64, 2])
-def test_simhash_components(spark, limit):
+def test_simhash_components(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash"))
-    got = simhash.near_duplicates(df, list_limit=limit).collect()
+    got = simhash.near_duplicates(df).collect()
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == brute_components(rows)
 
 
@@ -86,6 +85,25 @@ def test_simhash_chain_and_dense_cluster(spark):
     assert got == root
 
 
+def test_simhash_links_are_all_pairs_and_their_tally(spark):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    group = {base ^ (rng.getrandbits(8) << 8 * rng.randrange(8)) ^ (1 << rng.randrange(64)) for _ in range(500)} | {base ^ rng.getrandbits(16) for _ in range(300)} | {rng.getrandbits(64) for _ in range(200)}
+    signed = [p - (1 << 64) if p >> 63 else p for p in group]
+    want = {}
+    for i, p in enumerate(signed):
+        for q in signed[:i]:
+            x = (p ^ q) & (2**64 - 1)
+            if x.bit_count() <= 2:
+                shared = sum(x >> 8 * k & 255 == 0 for k in range(8))
+                want[min(p, q), max(p, q)] = {6: 1, 7: 7}[shared]
+    got = {(r["u"], r["v"]): r["lists"] for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long").repartition(7)).collect()}
+    assert got == want and len(want) > 300
+    members = np.array([base ^ (i << 8) for i in range(1 << 12)], np.uint64)
+    u, v = simhash.list_links(members, 2)
+    assert len(u) == len(set(zip(u.tolist(), v.tolist(), strict=True))) == (1 << 12) * (12 + 66) // 2
+
+
 def test_simhash_keeps_one_of_each(spark):
     rows = corpus(6)
     df = spark.createDataFrame([(*r, "x", r[0]) for r in rows], "doc_id long, text string, _fp string, row long")

@@ -136,6 +136,25 @@ def test_gif_columns(spark):
     assert gif.media_digest(gif.encode_texts(df.limit(0))).count() == 0
 
 
+def test_gif_null_damaged_and_huge_images(spark):
+    good = gif.encode(bytes(64 * 1500))
+    huge = b"GIF89a\xff\xff\xff\xff\xf7\0\0"
+    cut = good[: len(good) - 30]
+    assert gif.decode(huge).error and not gif.decode(huge).frames and gif.decode(None).error == "no media"
+    frame = b"GIF89a\1\0\1\0\x80\0\0" + bytes(6) + b",\0\0\0\0\xff\xff\xff\xff\0\2\0"
+    assert "65535" in gif.decode(frame).error
+    df = spark.createDataFrame([(1, bytearray(good), "a", 1), (2, None, "b", 2), (3, bytearray(huge), "c", 3), (4, bytearray(cut), "d", 4), (5, bytearray(b""), "e", 5)], "doc_id long, media binary, Feature string, ERROR int")
+    done = gif.media_digest(df)
+    assert [c for c in done.columns if c.lower() in ("feature", "error")] == ["feature", "error"]
+    got = {r["doc_id"]: r for r in done.collect()}
+    assert got[1]["error"] is None and got[1]["payload_bytes"] == 64 * 1500
+    assert got[2]["error"] == "no media" and got[2]["media_bytes"] is None
+    assert got[3]["error"] and got[3]["payload_bytes"] == 0 and got[5]["error"]
+    assert got[4]["error"] and got[4]["payload_bytes"] == 64 * 1024  # the frames up to the damage
+    rows = gif.decode_frames(df, "doc_id").collect()
+    assert sum(r["doc_id"] == 4 for r in rows) == 1 and {r["doc_id"] for r in rows} == {1, 2, 3, 4, 5}
+
+
 # PII
 def plain_base(text):
     import re

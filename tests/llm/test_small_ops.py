@@ -31,6 +31,30 @@ def test_url_verdicts(url, want):
     assert urls.judge(url, urls.UrlPolicy(rules=RULES))[:4] == want
 
 
+def test_url_weights_decide():
+    policy = urls.UrlPolicy()
+    for words, verdict in (("free/win", "allow"), ("free/win/cheap", "block"), ("free/poker", "block"), ("poker", "allow"), ("poker/poker", "allow")):
+        assert urls.judge(f"http://h.example/{words}", policy)[3] == verdict
+    heavy = urls.UrlPolicy(soft=(("alone", 9), ("other", 1)))
+    assert urls.judge("http://alone.example/", heavy)[3] == "allow" and urls.judge("http://alone.example/other", heavy)[3] == "block"
+
+
+def test_url_vocabulary_from_a_file(spark, tmp_path):
+    (tmp_path / "terms.txt").write_text("bad term\tstrict\nmild\t2\nlight\t1\n\n")
+    policy = urls.read_vocabulary(spark, str(tmp_path), soft_limit=3)
+    assert policy.strict == ("bad term",) and policy.soft == (("light", 1), ("mild", 2))
+    assert [urls.judge(u, policy)[3] for u in ("x://a/bad term", "x://a/mild", "x://mild/light", "x://mildly/light")] == ["block", "allow", "block", "allow"]
+    with pytest.raises(ValueError):
+        urls.read_vocabulary(spark, str(tmp_path), most=2)
+
+
+def test_url_filter_clashes_in_any_case(spark):
+    df = spark.createDataFrame([(1, "http://a.com/en/", "mine", "p")], "page_id long, Path string, Host string, N_Strict string")
+    got = urls.filter_urls(df, urls.UrlPolicy(rules=RULES), url="Path")
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "n_strict", "soft_weight"]
+    assert got.select("host", "path", "verdict").first() == ("a.com", "/en/", "block")
+
+
 def test_url_filter_keeps_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "http://a.com/en/", "mine"), (1, "http://a.com/en/", "mine"), (None, None, None)], "page_id long, url string, verdict string")
     got = urls.filter_urls(df, urls.UrlPolicy(rules=RULES)).collect()
@@ -63,6 +87,82 @@ def test_hilbert_shards_are_even_and_gapless(spark):
     assert hilbert.hilbert_shards(df.limit(0), [hilbert.Dimension("n_chars")], 24, ["doc_id"]).count() == 0
 
 
+def brute_curve(cells, bits):
+    """The index of a cell, by walking Skilling's transform on plain numbers."""
+    x, n, q = list(cells), len(cells), 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_hilbert_query_equals_brute_force(spark, tmp_path):
+    """Cells, order, shards and slots of op9, on a table with repeated texts, nulls and a hot source."""
+    import zlib
+
+    import xxhash
+
+    from millrace.llm import queries
+
+    rng = random.Random(5)
+    texts = [None, "", *("t" * rng.randrange(1, 50) for _ in range(12))]
+    rows = [(i, rng.choice(texts), rng.choice(["en", "en", "de", None]), rng.choice(["hot"] * 5 + [f"s{k:02d}" for k in range(25)]), rng.randrange(300) if rng.random() < 0.9 else None) for i in range(700)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op9_hilbert_shards(spark, str(tmp_path)).collect()
+
+    def category(values):
+        counts = sorted((v, sum(w == v for w in values)) for v in {v for v in values if v is not None})
+        if len(counts) <= 16:
+            return {v: k for k, (v, _) in enumerate(counts)} | {None: 0}
+        total, run, cell, out = sum(n for _, n in counts), 0, 0, {None: 0}
+        for v, n in counts:
+            before, run = run, run + n
+            out[v] = cell
+            cell += run * 16 // total > before * 16 // total
+        return out
+
+    known = sorted(r[4] for r in rows if r[4] is not None)
+    cuts = sorted({known[max(0, -(-len(known) * i // 16) - 1)] for i in range(1, 16)})
+    lang, source = category([r[2] for r in rows]), category([r[3] for r in rows])
+    want = []
+    for doc, text, lg, so, n in rows:
+        raw = (text or "").encode()
+        crc = zlib.crc32(raw)
+        tie = xxhash.xxh64_intdigest(crc.to_bytes(8, "little"), 42)
+        cell = (0 if n is None else sum(n > q for q in cuts), lang[lg], source[so])
+        want.append((brute_curve(cell, 4), tie - (1 << 64) if tie >> 63 else tie, crc, doc, len(raw) + 8))
+    want.sort()
+    shards = [[k for k in range(700) if k * 24 // 700 == s] for s in range(24)]
+    place = {k: (s, i) for s, ks in enumerate(shards) for i, k in enumerate(ks)}
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"], r["hilbert"], r["shard"], r["slot"]) for r in got) == sorted((doc, size, crc, h, *place[k]) for k, (h, _, crc, doc, size) in enumerate(want))
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+
+def test_hilbert_clashing_columns_and_many_categories(spark, monkeypatch):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.format_string("c%03d", F.col("id") % 100).alias("Shard"), F.lit(1).alias("SLOT"), F.lit("x").alias("hilbert"))
+    for most in (1 << 16, 50):
+        monkeypatch.setattr(hilbert, "CATEGORIES", most)
+        done = hilbert.hilbert_shards(df, [hilbert.Dimension("Shard", "category")], 4, ["doc_id"])
+        assert done.columns == ["doc_id", "hilbert", "shard", "slot"]
+        order = done.join(df.select("doc_id", F.col("Shard").alias("c")), "doc_id").orderBy("shard", "slot").collect()
+        by_category = [h for _, h in sorted((r["c"], r["hilbert"]) for r in order)]
+        assert by_category == sorted(by_category) and len(set(by_category)) == 16 and done.groupBy("shard").count().where("count = 75").count() == 4
+
+
 def test_hilbert_runs_prune(spark):
     df = spark.range(4096).select("id", (F.col("id") % 64).alias("a"), (F.col("id") / 64).cast("long").alias("b"))
     done = hilbert.hilbert_shards(df, [hilbert.Dimension("a"), hilbert.Dimension("b")], 16, ["id"], bits=4)
