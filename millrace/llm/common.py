@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system, as the worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever Spark keeps it."""
     jvm = spark.sparkContext._jvm
@@ -55,6 +67,18 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of fewer rows while a table is written: texts are long, and a worker holds a batch more than once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Intermediate tables of one job in the shared folder: Parquet, so they outlive lost executors, and gone when the result is written."""
 
@@ -64,13 +88,15 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         """Write a table and read it back."""
         path, self.n = f"{self.base}/{self.n}", self.n + 1
-        df.write.parquet(path)
+        with short_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def last(self, df: DataFrame) -> DataFrame:
         """Write the result and delete the intermediate tables."""
         path = f"{self.base}-result"
-        df.write.parquet(path)
+        with short_batches(self.spark):
+            df.write.parquet(path)
         remove(self.spark, self.base)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -78,7 +104,8 @@ class Scratch:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that later passes read what this one wrote, whatever executors are lost."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with short_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def free_name(name: str, taken: Iterable[str]) -> str:

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, unlike
+from .common import free_name, materialize, trim, unlike
 
 #: Entries of a worker's cache of chunks; when it is full, it starts anew.
 CACHE = 1 << 20
 #: Bytes of text that are split at a time (a longer text is alone), and chunks that are tokenised run together.
-GROUP, RUN = 1 << 23, 4096
+GROUP, RUN = 1 << 22, 4096
 
 #: A space inside a run of white space, or at its end at the end of the text: there a cut before the space is not the pre-tokenizer's.
 INNER_SPACE = r"[\pZ\x09-\x0D\x1C-\x1F\x85] (?:[\pZ\x09-\x0D\x1C-\x1F\x85]|\z)"
@@ -197,6 +197,7 @@ def token_pieces(df: DataFrame, size: int, end_id: int = 2, path: str | None = N
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(ids)]]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 first += len(n)
+        trim()
 
     return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 

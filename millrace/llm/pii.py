@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bilstm
-from .common import free_name
+from .common import free_name, trim
 
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES = 2500
@@ -350,6 +350,7 @@ def _apply(df: DataFrame, text: str, kept: list[str], columns: str, types: list,
                 texts = b.column(n).to_pylist()
                 rows = [make(t, x, y) for t, x, y in zip(texts, *find_spans(texts, sent.value), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
+        trim()
 
     return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias(free_name("_text", kept))).mapInArrow(run, schema)
 

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, utf8
+from .common import Scratch, free_name, trim, utf8
 
 #: Steps of log perplexity in the histograms, in nats.
 STEP = 0.002
@@ -55,7 +55,7 @@ TOP = 1 << 13
 #: Classes of length: powers of two of events, from 2**6 or fewer to 2**16 or more.
 CLASSES, FIRST_CLASS = 11, 6
 #: Rows scored at a time, and 4-grams of documents that are gathered before they are merged.
-ROWS, GATHER = 400, 1 << 22
+ROWS, GATHER = 400, 1 << 20
 #: The bits of a code point, and the symbols of one block's alphabet before it starts anew.
 BITS, ALPHABET = 21, 1 << 16
 #: Models whose discounts are broadcast (five numbers each); more are joined.
@@ -178,6 +178,8 @@ def count_grams(df: DataFrame, lang: str = "lang", text: str = "text") -> DataFr
                 k = len(n)
                 columns = [np.full(k, block, np.int32), np.full(k, m, np.int64), gram_hash(m, c1, c2, c3, c4).view(np.int64), c1.astype(np.int32), c2.astype(np.int64) << BITS | c3, c4.astype(np.int32), docs, n]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "model", "hash", "first", "middle", "last", "docs", "n"])
+        counters.clear()
+        trim()
 
     rows = df.select(model_of(lang).alias("m"), F.col(f"`{text}`").cast("string").alias("t"))
     return rows.mapInArrow(run, "block int, model long, hash long, first int, middle long, last int, docs long, n long")
@@ -311,6 +313,7 @@ def score(scratch: Scratch, df: DataFrame, policy: QualityPolicy, lang: str, tex
                 with pa.ipc.new_stream(sink, whole.schema, options=options) as writer:
                     writer.write_batch(whole.slice(i, ROWS))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.large_binary())], names=["block", "rows"])
+        trim()
 
     types = [pa.int64()] * 7 + [pa.float64()]
     kept = [df.schema[c].dataType.simpleString() for c in keep]
@@ -328,6 +331,7 @@ def score(scratch: Scratch, df: DataFrame, policy: QualityPolicy, lang: str, tex
                     words = [utf8(t).split() for t in plain]
                     made = [*base_batch(words, plain, policy), np.array(models, np.int64), *perplexities(words, models, keys, logp)]
                     out.append(pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names=[*keep, *SCORES]))
+        trim()
         return pa.Table.from_batches(out)
 
     extra = [model_of(lang).alias(free_name("_model", keep)), F.col(f"`{text}`").cast("string").alias(free_name("_text", keep))]
