@@ -83,14 +83,21 @@ class Scratch:
     """Intermediate tables of one job in the shared folder: Parquet, so they outlive lost executors, and gone when the result is written."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.n = spark, fresh_path(spark, name), 0
+        self.spark, self.base, self.tables = spark, fresh_path(spark, name), []
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write a table and read it back."""
-        path, self.n = f"{self.base}/{self.n}", self.n + 1
+        path = f"{self.base}/{len(self.tables)}"
         with short_batches(self.spark):
             df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self.tables[-1][0]
+
+    def leave(self, *tables: DataFrame) -> None:
+        """Delete all tables but these, which the result still reads."""
+        for df, path in self.tables:
+            if not any(df is t for t in tables):
+                remove(self.spark, path)
 
     def last(self, df: DataFrame) -> DataFrame:
         """Write the result and delete the intermediate tables."""

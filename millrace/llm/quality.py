@@ -379,9 +379,8 @@ def bands(scored: DataFrame, policy: QualityPolicy) -> DataFrame:
     return rows.groupBy("lm_model").applyInPandas(one, "lm_model long, length_class int, low double, high double")
 
 
-def with_verdict(scratch: Scratch, scored: DataFrame, policy: QualityPolicy) -> DataFrame:
-    """Adds base_failed and kept."""
-    found = scratch.keep(bands(scored, policy))
+def with_verdict(scored: DataFrame, found: DataFrame, policy: QualityPolicy) -> DataFrame:
+    """Adds base_failed and kept. found: the bands."""
     if found.count() <= CLASSES * BROADCAST_MODELS:
         found = F.broadcast(found)
     names = {c: f"_band_{c}" for c in ("lm_model", "length_class", "low", "high")}
@@ -397,7 +396,8 @@ def judge(df: DataFrame, policy: QualityPolicy = QualityPolicy(), doc_id: str =
     scratch = Scratch(df.sparkSession, "quality")
     key = free_name("_key", [*SCORES, "base_failed", "kept"])
     aside = df.select(F.col(f"`{doc_id}`").alias(key), F.col(f"`{lang}`").alias("_l"), F.col(f"`{text}`").alias("_t"))
-    done = with_verdict(scratch, score(scratch, aside, policy, "_l", "_t", [key]), policy)
+    scored = score(scratch, aside, policy, "_l", "_t", [key])
+    done = with_verdict(scored, scratch.keep(bands(scored, policy)), policy)
     return scratch.last(done.withColumnRenamed(key, doc_id))
 
 
@@ -406,5 +406,7 @@ def keep_good(df: DataFrame, policy: QualityPolicy = QualityPolicy(), lang: str
     scratch = Scratch(df.sparkSession, "quality")
     safe = {c: f"_{i}" for i, c in enumerate(df.columns)}
     aside = df.toDF(*safe.values())
-    done = with_verdict(scratch, score(scratch, aside, policy, safe[lang], safe[text], list(safe.values())), policy)
-    return scratch.last(done.where("kept").select(*(F.col(safe[c]).alias(c) for c in df.columns)))
+    scored = score(scratch, aside, policy, safe[lang], safe[text], list(safe.values()))
+    found = scratch.keep(bands(scored, policy))
+    scratch.leave(scored, found)
+    return with_verdict(scored, found, policy).where("kept").select(*(F.col(safe[c]).alias(c) for c in df.columns))
