@@ -67,6 +67,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def shorten_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """short_batches for all that the session does from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 @contextmanager
 def short_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Arrow batches of fewer rows while a table is written: texts are long, and a worker holds a batch more than once."""

@@ -327,14 +327,19 @@ def score(scratch: Scratch, df: DataFrame, policy: QualityPolicy, lang: str, tex
         for chunk in texts.column("rows").chunks:
             for rows in chunk:
                 for b in pa.ipc.open_stream(rows.as_buffer()):
-                    models, plain = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
+                    models, plain = b.column(n).to_pylist(), b.column(at).to_pylist()
                     words = [utf8(t).split() for t in plain]
                     made = [*base_batch(words, plain, policy), np.array(models, np.int64), *perplexities(words, models, keys, logp)]
                     out.append(pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names=[*keep, *SCORES]))
         trim()
         return pa.Table.from_batches(out)
 
-    extra = [model_of(lang).alias(free_name("_model", keep)), F.col(f"`{text}`").cast("string").alias(free_name("_text", keep))]
+    extra = [model_of(lang).alias(free_name("_model", keep))]
+    if text in keep and df.schema[text].dataType.simpleString() == "string":
+        at = keep.index(text)  # not sent twice
+    else:
+        at = n + 1
+        extra.append(F.col(f"`{text}`").cast("string").alias(free_name("_text", keep)))
     texts = df.select(*(F.col(f"`{c}`") for c in keep), *extra).mapInArrow(packed, "block int, rows binary")
     return scratch.keep(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema))
 
