@@ -54,18 +54,27 @@ def build(base: DataFrame) -> Index:
     exploded = lists.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in FIELDS))).alias("x")).select("id", "x.field", F.explode("x.terms").alias("term"))
     postings = exploded.groupBy("term", "id", "field").agg(F.count(F.lit(1)).alias("tf"))
     doc_stats = lists.select("id", *(F.size(f).cast("long").alias(f"len_{f}") for f in FIELDS)).withColumn("length", sum((F.col(f"len_{f}") for f in FIELDS), F.lit(0)))
+    return Index(base, postings, doc_stats, term_statistics(postings))
+
+
+def term_statistics(postings: DataFrame) -> DataFrame:
+    """field, term, df; the field '' counts documents with the term anywhere."""
     by_field = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     anywhere = postings.groupBy("term").agg(F.count_distinct("id").alias("df")).select(F.lit("").alias("field"), "term", "df")
-    return Index(base, postings, doc_stats, by_field.unionByName(anywhere))
+    return by_field.unionByName(anywhere)
 
 
 def save(index: Index, path: str, overwrite: bool = True) -> None:
-    """Postings and term statistics are range-sorted by term, so a query's filter skips row groups."""
+    """Postings and term statistics are range-sorted by term, so a query's filter skips row groups.
+
+    Without overwrite the rows are added to an index that is there, and the statistics are made again from all its postings.
+    """
     mode = "overwrite" if overwrite else "append"
     tables.write_parquet(index.base, f"{path}/base", mode)
     tables.write_parquet(index.postings.repartitionByRange("term").sortWithinPartitions("term", "id"), f"{path}/postings", mode)
     tables.write_parquet(index.doc_stats, f"{path}/doc_stats", mode)
-    tables.write_parquet(index.term_stats.repartitionByRange("term").sortWithinPartitions("term"), f"{path}/term_stats", "overwrite")
+    stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
+    tables.write_parquet(term_statistics(stored).repartitionByRange("term").sortWithinPartitions("term"), f"{path}/term_stats", "overwrite")
 
 
 def load(spark: SparkSession, path: str) -> Index:

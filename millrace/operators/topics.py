@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import tables
 from . import features
 
+#: Places of a sparse centroid that is sent to all tasks: 32 MB; larger ones are joined.
+MAX_FEATURES = 1 << 22
+
 FIELDS = ("title", "description", "channel", "parent_channel", "tags")
 
 
@@ -91,12 +97,38 @@ def sparse_centroid(vectors: DataFrame, seeds: DataFrame) -> DataFrame:
     return sums.select("idx", F.when(norm > 0, F.col("s") / norm).otherwise(F.raise_error(F.lit("the centroid is zero")).cast("double")).alias("weight"))
 
 
+def sparse_dot(weights: np.ndarray, indices: np.ndarray, values: np.ndarray) -> float:
+    known = indices < len(weights)
+    return float(weights[indices[known]] @ values[known])
+
+
+def dense_weights(centroid: DataFrame) -> np.ndarray | None:
+    """The centroid by index, if it has at most MAX_FEATURES places (8 bytes each), to be sent to all tasks."""
+    size = centroid.agg(F.max("idx")).first()[0]
+    if size is None or size >= MAX_FEATURES:
+        return None
+    out = np.zeros(size + 1)
+    for idx, weight in centroid.select("idx", "weight").collect():
+        out[idx] = weight
+    return out
+
+
 def sparse_nearest(vectors: DataFrame, centroid: DataFrame, top_k: int, min_score: float, exclude: DataFrame | None = None) -> DataFrame:
     """id, score: dot products with the centroid, the top_k by score, then id, both descending. Indices the centroid lacks count 0."""
     rows = vectors.where(F.size("vector.indices") > 0)
     if exclude is not None:
         rows = rows.join(exclude.select("id").distinct(), "id", "left_anti")
-    scored = features.unpack(rows).join(centroid, "idx", "left").groupBy("id").agg(F.sum(F.coalesce(F.col("weight") * F.col("val"), F.lit(0.0))).alias("score"))
+    dense = dense_weights(centroid)
+    if dense is None:
+        scored = features.unpack(rows).join(centroid, "idx", "left").groupBy("id").agg(F.sum(F.coalesce(F.col("weight") * F.col("val"), F.lit(0.0))).alias("score"))
+    else:
+        sent = vectors.sparkSession.sparkContext.broadcast(dense)
+
+        @F.pandas_udf("double")
+        def dot(indices: pd.Series, values: pd.Series) -> pd.Series:
+            return pd.Series([sparse_dot(sent.value, np.asarray(i, np.int64), np.asarray(v, np.float64)) for i, v in zip(indices, values, strict=True)])
+
+        scored = rows.select("id", dot("vector.indices", "vector.values").alias("score"))
     return scored.where(F.col("score") >= min_score).orderBy(F.desc(F.round("score", 9)), F.desc("id")).limit(top_k)
 
 
@@ -105,5 +137,6 @@ def sparse_topic(metadata: DataFrame, vectors: DataFrame, query: str, mode: str
     seeds = find_seeds(metadata, query, mode, seed_fields, seed_limit)
     top = sparse_nearest(vectors, sparse_centroid(vectors, seeds), top_k, min_score, seeds if exclude_seeds else None)
     ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("score", 9)), F.desc("id"))).cast("long"))  # over top_k rows
-    named = metadata.dropDuplicates(["id"]).select("id", *FIELDS)
+    # Of metadata rows that repeat an id, the last by its fields; only ids among the hits are looked at.
+    named = tables.first_per_id(metadata.select("id", *FIELDS).join(F.broadcast(top.select("id")), "id", "left_semi"), "id", [F.desc(f) for f in FIELDS])
     return ranked.join(named, "id", "left").select("rank", "id", "score", *FIELDS).orderBy("rank")

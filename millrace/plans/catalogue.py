@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,21 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture.catalogue(spark, sf_dir)
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.build(bm25.base_table(_catalogue(spark, sf_dir)))
+    """The index of the catalogue, built and saved in the shared folder once an application, then opened."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        path = _folder(spark, "bm25")
+        bm25.save(bm25.build(bm25.base_table(_catalogue(spark, sf_dir))), path)
+        _SAVED[key] = path
+    return bm25.load(spark, _SAVED[key])
 
 
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +150,20 @@ def bm25_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("field", "df").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
 
 
+@_query(lambda: _search_sql(QUERY, 50))
+def bm25_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that is saved in two parts."""
+    base, path = bm25.base_table(_catalogue(spark, sf_dir)), _folder(spark, "bm25")
+    bm25.save(bm25.build(base.where("id % 3 <> 0")), path)
+    bm25.save(bm25.build(base.where("id % 3 = 0")), path, overwrite=False)
+    return _search(bm25.search(bm25.load(spark, path), QUERY, 50))
+
+
+@_query(lambda: f"WITH {_postings_sql()} SELECT field, term, count(*) AS df FROM p GROUP BY ALL UNION ALL SELECT '' AS field, term, count(DISTINCT id) AS df FROM p GROUP BY term")
+def bm25_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).term_stats.select("field", "term", "df")
+
+
 # Scores and selection
 
 
@@ -216,7 +245,23 @@ def candidate_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.load_candidates(events, _metadata(spark, sf_dir), "first_event").select("id", "first_event", "title", "channel")
 
 
-@_query()
+def _of_sample(sql: str) -> str:
+    """The SQL of scores, over the sample of 500 rows that hash_sample takes."""
+    head = sql.replace("x AS (SELECT id", "sub AS (SELECT * FROM cat ORDER BY md5('0:' || id), id LIMIT 500), x AS (SELECT id")
+    return head.replace("FROM cat), n AS", "FROM sub), n AS")
+
+
+@_query(lambda: _of_sample(f"WITH {_norm_sql()} SELECT id, {', '.join(f'round({m}_norm, 6) AS {m}_norm' for m in METRICS)}, round(raw, 6) AS score FROM sc"))
+def subset_scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scored row of a sample, as it is written to CSV, read back."""
+    sample = tables.hash_sample(_catalogue(spark, sf_dir), "id", 500)
+    rows = scoring.score(sample, METRICS).select("id", *(_r(f"{m}_norm") for m in METRICS), _r("score"))
+    path = _folder(spark, "scored")
+    tables.write_csv(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True)
+
+
+@_query(lambda: _of_sample(_select_sql("year", 30, 0)))
 def subset_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = tables.hash_sample(_catalogue(spark, sf_dir), "id", 500)
     return _selected(scoring.rerank(sample, METRICS, fixture.NOW_MS, top_k=30, granularity="year", min_per_bucket=0))
@@ -238,10 +283,39 @@ def tfidf_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.tfidf_terms(_catalogue(spark, sf_dir), F.col("payload_title"), n_features=None).select("id", "key", "tf", "df", _r("weight", 5))
 
 
+def _analyzer_sql(grams: str) -> str:
+    return f"""WITH {fixture.catalogue_sql()}, g AS ({grams}), tf AS (SELECT id, key, count(*) AS tf FROM g GROUP BY ALL), d AS (SELECT key, count(*) AS df FROM tf GROUP BY key),
+w AS (SELECT id, key, tf, df, tf * (ln((1 + (SELECT count(*) FROM cat)) / (1 + df)) + 1)::FLOAT::DOUBLE AS w FROM tf JOIN d USING (key))
+SELECT id, key, tf, df, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 5) AS weight FROM w"""
+
+
+def _substrings_sql(table: str, sizes: tuple[int, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT id, substr(s, i, {n}) AS key FROM (SELECT id, s, unnest(range(1, length(s) - {n - 2})) AS i FROM {table})" for n in sizes)
+
+
+@_query(lambda: _analyzer_sql(_substrings_sql("(SELECT id, regexp_replace(lower(title), '\\s+', ' ', 'g') AS s FROM cat)", (2, 3))))
+def tfidf_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.tfidf_terms(_catalogue(spark, sf_dir), F.col("payload_title"), "char", 2, 3, None).select("id", "key", "tf", "df", _r("weight", 5))
+
+
+@_query(lambda: _analyzer_sql(_substrings_sql("(SELECT id, ' ' || unnest(list_filter(string_split(regexp_replace(lower(title), '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) || ' ' AS s FROM cat)", (3,))))
+def tfidf_characters_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.tfidf_terms(_catalogue(spark, sf_dir), F.col("payload_title"), "char_wb", 3, 3, None).select("id", "key", "tf", "df", _r("weight", 5))
+
+
+@_query(lambda: _analyzer_sql("SELECT id, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]{2,}')) AS key FROM cat"))
+def tfidf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.tfidf_terms(_catalogue(spark, sf_dir), F.col("payload_title"), "word", 1, 1, None).select("id", "key", "tf", "df", _r("weight", 5))
+
+
+@_query("SELECT count(DISTINCT vec_id) AS n_rows, max(i) AS n_features FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings) WHERE embedding[i] > 0")
+def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([features.count_features(_sparse(spark, sf_dir))], "n_rows long, n_features long")
+
+
 @_query()
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = features.tfidf(_catalogue(spark, sf_dir), "payload_title", "payload_description")
-    return v.select("id", F.size("vector.indices").alias("n"), F.array_max("vector.indices").alias("top"))
+    return features.tfidf(_catalogue(spark, sf_dir), "payload_title", "payload_description")
 
 
 @_query()
@@ -315,6 +389,11 @@ def topic_seed_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.seed_preview(m, v, centroid, seeds, 5).select("id", _r("score"), "channel")
 
 
+@_query(lambda: f"WITH {_SEEDS.format('the')} SELECT id FROM seeds ORDER BY id LIMIT 20")
+def topic_seed_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.find_seeds(_metadata(spark, sf_dir), "the", fields=("title", "description"), limit=20).select("id")
+
+
 # Terms and graphs
 
 
@@ -359,6 +438,16 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.dedupe_edges(edges).select("source", "target", F.format_string("%.4f", "score").alias("score"))
 
 
+@_query(lambda: _graph_sql("SELECT a AS source, b AS target, printf('%.4f', score) AS score, rank, 'word2vec' AS model FROM u WHERE k = 1"))
+def graph_edges_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges as they are exported to CSV, read back; four of the six decimals."""
+    nodes, edges = terms.seed_graph(spark, _words(spark, sf_dir), SEED_TERMS, 1, 5, 0.1)
+    path = _folder(spark, "edges")
+    tables.write_csv(terms.graph_csv(nodes, terms.dedupe_edges(edges))[1], path, single=True)
+    rows = spark.read.schema("source string, target string, score double, rank long, model string").csv(path, header=True)
+    return rows.withColumn("score", F.format_string("%.4f", "score"))
+
+
 @_query(lambda: _graph_sql(f"SELECT word AS name, count AS freq, (word IN ({_SEED_LIST}))::VARCHAR AS is_seed FROM words WHERE word IN (SELECT source FROM e UNION SELECT target FROM e UNION SELECT word FROM words WHERE word IN ({_SEED_LIST}))"))
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = terms.seed_graph(spark, _words(spark, sf_dir), SEED_TERMS, 1, 5, 0.1)
@@ -380,7 +469,7 @@ def token_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def word2vec_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, counts = terms.train_word2vec(_catalogue(spark, sf_dir), "payload_title", "payload_description", size=16, window=4, min_count=50, epochs=1, hs=1, negative=0)
-    return terms.word_vectors(model, counts).select("word", "count", F.size("vector").alias("n"))
+    return terms.word_vectors(model, counts).select("word", "count", "vector")
 
 
 def _sets_sql() -> str:
@@ -410,6 +499,19 @@ u AS (SELECT *, seed_hit_count + related_hit_count - intersection_count AS union
 SELECT 'the' AS seed_term, topk, added_term, added_score, seed_hit_count, related_hit_count, intersection_count, union_count, round(intersection_count / seed_hit_count, 6) AS overlap_ratio, round(intersection_count / union_count, 6) AS jaccard_ratio, query_text FROM u"""
 
 
+@_query(lambda: f"SELECT * EXCLUDE (pct) FROM ({_expansion_sql()}) WHERE hit_count > 0 ORDER BY hit_count DESC, topk LIMIT 1")
+def expansion_best_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.best_step(terms.expansion_trend(_index(spark, sf_dir), spark, "the", RELATED), "hit_count").drop("pct")
+
+
+@_query(lambda: f"SELECT * EXCLUDE (pct, added_score) FROM ({_expansion_sql()})")
+def expansion_trend_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend as it is written to CSV, read back."""
+    rows, path = terms.expansion_trend(_index(spark, sf_dir), spark, "the", RELATED).drop("pct"), _folder(spark, "trend")
+    tables.write_csv(rows, path, single=True)
+    return spark.read.schema(rows.schema).csv(path, header=True).drop("added_score")
+
+
 @_query(_overlap_sql)
 def overlap_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = terms.overlap_trend(_index(spark, sf_dir), spark, "the", RELATED)
@@ -419,18 +521,62 @@ def overlap_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sinks and stores
 
 
-@_query("SELECT to_json({'id': doc_id, 'channel': source, 'title': split_part(text, chr(10), 1)})::VARCHAR AS json FROM documents WHERE NOT contains(split_part(text, chr(10), 1), '\"') AND NOT contains(split_part(text, chr(10), 1), chr(92)) AND NOT contains(split_part(text, chr(10), 1), '/')")
+@_query("SELECT to_json({'id': doc_id, 'channel': source, 'title': split_part(text, chr(10), 1)})::VARCHAR AS json FROM documents")
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _metadata(spark, sf_dir).where(~F.contains("title", F.lit('"')) & ~F.contains("title", F.lit("\\")) & ~F.contains("title", F.lit("/")))
-    return tables.json_rows(m.select("id", "channel", "title"))
+    return tables.json_rows(_metadata(spark, sf_dir).select("id", "channel", "title"))
+
+
+_HAN_TEXT = "lang || '視頻 天地' || source || '人 v1.2'"
+
+
+@_query(f"SELECT doc_id AS id, array_to_string(regexp_extract_all(lower({_HAN_TEXT}), '{TOKEN}|[{chr(0x3400)}-{chr(0x4DBF)}{chr(0x4E00)}-{chr(0x9FFF)}]+'), ' ') AS tokens FROM documents")
+def tokenize_han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("payload_channel_parentName", F.lit("視頻 天地"), "payload_channel_name", F.lit("人 v1.2"))
+    return _catalogue(spark, sf_dir).select("id", T.join_tokens(text).alias("tokens"))
+
+
+_KANA_TEXT = "lang || 'かな漢字 ' || source || ' 字か天地 Ab'"
+_HAN, _KANA = f"{chr(0x3400)}-{chr(0x4DBF)}{chr(0x4E00)}-{chr(0x9FFF)}", f"{chr(0x3040)}-{chr(0x30FF)}"
+
+
+@_query(f"SELECT doc_id AS id, array_to_string(list_concat(regexp_extract_all(lower({_KANA_TEXT}), '{TOKEN}|[{_HAN}{_KANA}]+'), list_filter(regexp_extract_all(lower({_KANA_TEXT}), '[{_HAN}]+'), lambda x: length(x) > 1)), ' ') AS tokens FROM documents")
+def tokenize_kana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("payload_channel_parentName", F.lit("かな漢字 "), "payload_channel_name", F.lit(" 字か天地 Ab"))
+    return _catalogue(spark, sf_dir).select("id", T.join_tokens(text).alias("tokens"))
+
+
+@_query("SELECT doc_id AS id, source AS channel, split_part(text, chr(10), 1) AS title FROM documents")
+def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards in zstd, written over what was there."""
+    rows, path = _metadata(spark, sf_dir).select("id", "channel", "title"), _folder(spark, "rows")
+    tables.write_parquet(rows.limit(1), path)
+    tables.write_parquet(rows.repartition(3), path)
+    return tables.scan(spark, path, ["id", "channel", "title"])
+
+
+@_query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS embeddings, 10::BIGINT AS first")
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = [tables.count_rows(tables.scan(spark, f"{sf_dir}/{t}.parquet")) for t in ("documents", "embeddings")]
+    head = tables.scan(spark, f"{sf_dir}/documents.parquet", ["doc_id"], 10)
+    return spark.createDataFrame([(*n, tables.count_rows(head))], "documents long, embeddings long, first long")
+
+
+@_query("SELECT vec_id AS id, label, source AS channel FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 7 = 1")
+def vector_store_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that was there is dropped, is kept when it may be skipped, and gives the points that are asked for."""
+    store = tables.VectorStore(spark, _folder(spark, "store"))
+    v = fixture.vectors(spark, sf_dir)
+    store.ingest(v.withColumn("label", F.lit(-1)))
+    metadata = _metadata(spark, sf_dir).join(v.select("id"), "id", "left_semi").select("id", "channel")
+    points = tables.joined_points(metadata, v.join(metadata.select("id"), "id", "left_semi"))
+    store.ingest(points.join(v.select("id", "label"), "id"), recreate=True)
+    store.ingest(v.withColumn("label", F.lit(-2)).withColumn("channel", F.lit("")), skip_existing=True)
+    return store.retrieve(v.where("id % 7 = 1").select("id")).select("id", "label", "channel")
 
 
 @_query("SELECT vec_id AS id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 2) + 0.0 AS total FROM (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100, list_transform(embedding, lambda x: -x) FROM embeddings WHERE vec_id % 3 = 0)")
 def vector_store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    store = tables.VectorStore(spark, f"{shared.rstrip('/')}/store-{spark.sparkContext.applicationId}-{id(sf_dir)}")
+    store = tables.VectorStore(spark, _folder(spark, "store"))
     v = fixture.vectors(spark, sf_dir)
     store.ingest(v, recreate=True)
     store.ingest(v.where("id % 3 = 0").select("id", F.transform("vector", lambda x: -x).alias("vector"), (F.col("label") + 100).alias("label")))

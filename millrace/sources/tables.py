@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,9 @@ def count_rows(df: DataFrame, limit: int | None = None) -> int:
 
 
 def hash_sample(df: DataFrame, id_column: str, n: int, seed: int = 0) -> DataFrame:
-    """A pseudo-random sample that is the same each time: the rows with the n smallest hashes of their ids. Null ids are left out."""
-    return df.where(F.col(id_column).isNotNull()).orderBy(F.xxhash64(F.col(id_column), F.lit(seed)), id_column).limit(n)
+    """A pseudo-random sample that is the same each time: the rows with the n smallest MD5 sums of the seed and their ids. Null ids are left out."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
+    return df.where(F.col(id_column).isNotNull()).orderBy(digest, id_column).limit(n)
 
 
 def first_per_id(df: DataFrame, id_column: str, order: Sequence) -> DataFrame:
@@ -64,8 +66,22 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Only a local master gets a temporary folder where none is set."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found is None:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="millrace-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 class VectorStore:
-    """Points (id, vector, payload) in a Parquet folder. An upsert replaces the points with its ids; the last row of an id wins by version."""
+    """Points (id, vector, payload) in a Parquet folder. An upsert replaces the points with its ids; of rows of an id the last wins: of the last ingest, the last in the order of its partitions."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -82,13 +98,13 @@ class VectorStore:
         version = 0
         if there and not recreate:
             version = (self.spark.read.parquet(self.path).agg(F.max("version")).first()[0] or 0) + 1
-        rows = points.withColumn("version", F.lit(version))
+        rows = points.withColumn("version", F.lit(version)).withColumn("place", F.monotonically_increasing_id())
         rows.write.mode("overwrite" if recreate or not there else "append").option("compression", "zstd").parquet(self.path)
         return True
 
     def read(self) -> DataFrame:
         rows = self.spark.read.parquet(self.path)
-        return first_per_id(rows, "id", [F.desc("version")]).drop("version")
+        return first_per_id(rows, "id", [F.desc("version"), F.desc("place")]).drop("version", "place")
 
     def retrieve(self, ids: DataFrame) -> DataFrame:
         return self.read().join(ids.select("id").distinct(), "id", "left_semi")

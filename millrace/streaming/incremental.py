@@ -1,8 +1,8 @@
 """An extension: keep a BM25 index up to date from a stream of new catalogue files.
 
 Each micro-batch is tokenised, its postings and lengths are appended, and the term statistics are
-written again from all postings under a new version; a marker names the version that readers take. A
-batch that is run again replaces what it wrote before, as its rows lie in a folder of its own.
+written again from all postings, last of all, under the batch's epoch; readers take the largest epoch that
+has statistics. A batch that is run again replaces what it wrote before, as its rows lie in a folder of its own.
 """
 
 from __future__ import annotations
@@ -22,19 +22,16 @@ def append(path: str):
         index = bm25.build(bm25.base_table(batch))
         for name, df in (("base", index.base), ("postings", index.postings), ("doc_stats", index.doc_stats)):
             df.write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
-        stats = bm25.Index(index.base, spark.read.parquet(f"{path}/postings").drop("epoch"), index.doc_stats, index.term_stats)
-        by_field = stats.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        anywhere = stats.postings.groupBy("term").agg(F.count_distinct("id").alias("df")).select(F.lit("").alias("field"), "term", "df")
-        by_field.unionByName(anywhere).write.mode("overwrite").parquet(f"{path}/term_stats/epoch={epoch}")
+        bm25.term_statistics(spark.read.parquet(f"{path}/postings").drop("epoch")).write.mode("overwrite").parquet(f"{path}/term_stats/epoch={epoch}")
 
     return run
 
 
 def load(spark: SparkSession, path: str) -> bm25.Index:
-    """The index with the statistics of the last epoch."""
+    """The index as of the last epoch that has statistics; rows of a batch that failed before them aren't read."""
     stats = spark.read.parquet(f"{path}/term_stats")
     last = stats.agg(F.max("epoch")).first()[0]
-    read = lambda name: spark.read.parquet(f"{path}/{name}").drop("epoch")
+    read = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("epoch") <= last).drop("epoch")
     return bm25.Index(read("base"), read("postings"), read("doc_stats"), stats.where(F.col("epoch") == last).drop("epoch"))
 
 

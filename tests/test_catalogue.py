@@ -83,6 +83,17 @@ def test_bm25_edges(spark, tmp_path):
     assert "TakeOrderedAndProject" in plan and "PushedFilters: [In" in plan.replace("IsNotNull(term), ", "") or "EqualTo(term,fox)" in plan
 
 
+def test_bm25_append_counts_all_parts(spark, tmp_path):
+    parts = docs(spark, [(i, "alpha common", "x", None) for i in range(10)]), docs(spark, [(i, "beta common", "x", None) for i in range(10, 13)])
+    for k, part in enumerate(parts):
+        bm25.save(bm25.build(bm25.base_table(part)), str(tmp_path / "i"), overwrite=k == 0)
+    index = bm25.load(spark, str(tmp_path / "i"))
+    assert bm25.search(index, ["alpha"]).count() == 10 and bm25.search(index, ["beta"]).count() == 3
+    assert {r["term"]: r["df"] for r in index.term_stats.where("field = ''").collect()} == {"alpha": 10, "beta": 3, "common": 13, "x": 13, "c": 13, "p": 13}
+    whole = bm25.search(bm25.build(bm25.base_table(parts[0].unionByName(parts[1]))), ["alpha", "common"]).select("id", "total_score").collect()
+    assert bm25.search(index, ["alpha", "common"]).select("id", "total_score").collect() == whole
+
+
 def test_stream_keeps_the_index(spark, tmp_path):
     rows = docs(spark, [(i, f"red w{i}", "fox " * i, "x") for i in range(6)])
     for part in (rows.where("id < 3"), rows.where("id >= 3")):
@@ -150,6 +161,26 @@ def test_features(spark):
     assert [r["g"] for r in df.limit(1).select(F.explode(features.char_ngrams(F.lit("ab c"), 3, 3, True)).alias("g")).collect()] == [" ab", "ab ", " c "]
 
 
+def test_hashed_vectors_equal_joined_ones(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b a b", ""), (2, "solo", None), (3, "a b", "c"), (4, None, None), (5, "a b a b c d e f", "b a")], "id long, title string, description string").repartition(3)
+    narrow = features.tfidf(df, "title", "description", low=1, high=3, n_features=32)
+    assert "Exchange" not in narrow.drop("id")._jdf.queryExecution().executedPlan().toString().replace("RoundRobin", "").split("MapInArrow")[0]
+    monkeypatch.setattr(features, "MAX_FEATURES", 1)
+    wide = features.tfidf(df, "title", "description", low=1, high=3, n_features=32)
+    a, b = ({r["id"]: r["vector"] for r in v.collect()} for v in (narrow, wide))
+    assert a.keys() == b.keys() == {1, 2, 3, 4, 5}
+    for i in a:
+        assert a[i]["indices"] == b[i]["indices"] and a[i]["values"] == pytest.approx(b[i]["values"], abs=1e-6)
+
+
+def test_sparse_nearest_joined_or_sent(spark, monkeypatch):
+    vectors = spark.createDataFrame([(1, ([0, 3], [0.5, 0.5])), (2, ([7], [1.0])), (3, ([], [])), (4, ([3], [1.0]))], "id long, vector struct<indices: array<int>, values: array<float>>")
+    centroid = spark.createDataFrame([(0, 0.6), (3, 0.8)], "idx int, weight double")
+    sent = topics.sparse_nearest(vectors, centroid, 10, 0.0).collect()
+    monkeypatch.setattr(topics, "MAX_FEATURES", 1)
+    assert [(r["id"], pytest.approx(r["score"])) for r in topics.sparse_nearest(vectors, centroid, 10, 0.0).collect()] == [tuple(r) for r in sent]
+
+
 def test_svd_finds_the_subspace(spark):
     import numpy as np
 
@@ -183,6 +214,8 @@ def test_vector_store(spark, tmp_path):
     assert store.ingest(p) and not store.ingest(p, skip_existing=True, recreate=True)
     assert store.ingest(p.where("id = 1").withColumn("v", F.lit("new")))
     assert sorted(tuple(r) for r in store.read().collect()) == [(1, "new"), (2, "b")]
+    assert store.ingest(spark.createDataFrame([(2, "x"), (2, "y"), (2, "z")], "id long, v string").coalesce(1))
+    assert sorted(tuple(r) for r in store.read().collect()) == [(1, "new"), (2, "z")]
     assert store.ingest(p.limit(1), recreate=True) and store.read().count() == 1
     with pytest.raises(Exception, match="different ids"):
         tables.joined_points(p, p.where("id = 1").withColumn("vector", F.lit(1))).collect()
