@@ -3,6 +3,7 @@ import collections
 import hashlib
 import importlib.util
 import io
+import itertools
 import os
 import random
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import gif, licenses, pii, warc
+from millrace.llm import bilstm, gif, licenses, pii, warc
 
 
 # WARC
@@ -326,3 +327,26 @@ def test_pipeline(spark):
     whole = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     key = lambda r: (r["doc_id"], r["piece"], r["length"], r["ids_crc32"])
     assert sorted(map(key, whole)) == sorted(map(key, packed))
+
+
+def test_viterbi_and_the_partition_function_by_enumeration():
+    """All tag sequences of short texts, padded ones among them, against the best path and the loss."""
+    rng = np.random.default_rng(4)
+    model = bilstm.BiLstmCrf.fresh(3, embedding=4, hidden=5, seed=1)
+    for name in ("T", "S", "F", "c"):
+        model.params[name] = rng.standard_normal(model.params[name].shape).astype(np.float32)
+    ids = rng.integers(1, bilstm.SYMBOLS, (6, 5))
+    lengths = [5, 4, 3, 2, 1, 5]
+    for r, n in enumerate(lengths):
+        ids[r, n:] = bilstm.PAD
+    gold = rng.integers(0, 3, (6, 5))
+    e, _ = model.emissions(ids)
+    p, total = model.params, 0.0
+    tags, _ = model.viterbi(ids)
+    for r, n in enumerate(lengths):
+        path = lambda y: float(p["S"][y[0]] + sum(e[t, r, k] for t, k in enumerate(y)) + sum(p["T"][a, b] for a, b in itertools.pairwise(y)) + p["F"][y[-1]])  # noqa: B023, E731
+        scores = {y: path(y) for y in itertools.product(range(3), repeat=n)}
+        assert tuple(tags[r, :n].tolist()) == max(scores, key=scores.get)
+        total += np.log(np.exp(list(scores.values())).sum()) - scores[tuple(gold[r, :n].tolist())]
+    loss, _ = model.loss_and_gradients(ids, gold)
+    assert loss == pytest.approx(total / 6, abs=1e-4)
