@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import free_name, materialize, trim, unlike
 
 #: Entries of a worker's cache of chunks; when it is full, it starts anew.
-CACHE = 1 << 20
+CACHE = 1 << 19
 #: Bytes of text that are split at a time (a longer text is alone), and chunks that are tokenised run together.
 GROUP, RUN = 1 << 22, 4096
 
