@@ -350,3 +350,18 @@ def test_viterbi_and_the_partition_function_by_enumeration():
         total += np.log(np.exp(list(scores.values())).sum()) - scores[tuple(gold[r, :n].tolist())]
     loss, _ = model.loss_and_gradients(ids, gold)
     assert loss == pytest.approx(total / 6, abs=1e-4)
+
+
+def test_gif_feature_by_hand(spark):
+    """The feature of a payload of several frames: each frame draws over the top rows of the canvas, and its shown pixels are counted."""
+    rng = np.random.default_rng(2)
+    text = "".join(map(chr, rng.integers(32, 127, 64 * 2500)))
+    row = gif.media_digest(gif.encode_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    rows = np.frombuffer(text.encode(), np.uint8).reshape(-1, 64)
+    canvas, counts = np.zeros((1024, 64), np.uint8), np.zeros(8, np.int64)
+    for r in range(0, len(rows), 1024):
+        part = rows[r : r + 1024]
+        canvas[: len(part)] = part
+        counts += np.bincount(canvas.ravel() >> 5, minlength=8)
+    n = ",".join(map(str, [*counts] * 3))
+    assert row["feature"] == f"64x1024;3 frames;{3 * gif.DELAY * 10} ms;rgb8:{n}"
