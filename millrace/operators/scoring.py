@@ -33,7 +33,7 @@ def logged(metric: str) -> Column:
 
 
 def percentile_table(values: DataFrame, buckets: int = 4096) -> DataFrame:
-    """values: m, x. Returns m, x, pct: the average rank of x among its metric's rows, over their number.
+    """values: m, x. Returns m, x, pct: the average rank of x among its metric's rows, over their number; upto: the rows up to x; all.
 
     Distinct values are dealt into ranges of x; ranges are summed in order, then values within a range.
     """
@@ -43,7 +43,20 @@ def percentile_table(values: DataFrame, buckets: int = 4096) -> DataFrame:
     sums = dealt.groupBy("m", "r").agg(F.sum("n").alias("rn"))
     before = sums.select("m", "r", (F.sum("rn").over(W.partitionBy("m").orderBy("r")) - F.col("rn")).alias("before"))
     run = F.sum("n").over(W.partitionBy("m", "r").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    return dealt.withColumn("run", run).join(before, ["m", "r"]).select("m", "x", ((F.col("before") + F.col("run") - F.col("n") + (F.col("n") + 1) / 2) / F.col("all")).alias("pct"))
+    return dealt.withColumn("run", run).join(before, ["m", "r"]).select("m", "x", ((F.col("before") + F.col("run") - F.col("n") + (F.col("n") + 1) / 2) / F.col("all")).alias("pct"), (F.col("before") + F.col("run")).alias("upto"), "all")
+
+
+def quantiles(table: DataFrame, q: float) -> DataFrame:
+    """m, p: the interpolated q quantile of each metric of a percentile_table, and lo and hi. Partial minima, so no task sees all values of a metric."""
+    place = (F.col("all") - 1) * F.lit(q)
+    at = lambda p: F.min(F.when(F.col("upto") > p, F.col("x")))
+    ends = table.groupBy("m").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max(place - F.floor(place)).alias("f"))
+    return ends.select("m", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("p"), "lo", "hi")
+
+
+def _long(df: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
+    """m, x: a row a metric and row."""
+    return df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("m"), logged(c).alias("x")) for m, c in metrics.items()))).alias("v")).select("v.m", "v.x")
 
 
 def score(df: DataFrame, metrics: Mapping[str, str], weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
@@ -53,9 +66,10 @@ def score(df: DataFrame, metrics: Mapping[str, str], weights: Mapping[str, float
     if total <= 0:
         raise ValueError("no weight is above 0")
     xs = df.select("*", *(logged(c).alias(f"_x_{m}") for m, c in metrics.items()))
-    facts = xs.agg(*(F.percentile(f"_x_{m}", 0.99).alias(f"_p_{m}") for m in metrics), *((F.min(f"_x_{m}") < F.max(f"_x_{m}")).alias(f"_d_{m}") for m in metrics))
-    values = xs.select(F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.col(f"_x_{m}").alias("x")) for m in metrics))).alias("v")).select("v.m", "v.x")
-    pct = percentile_table(values)
+    pct = percentile_table(_long(df, metrics))
+    of = quantiles(pct, 0.99)
+    pick = lambda m, value: F.max(F.when(F.col("m") == m, value))
+    facts = of.agg(*(pick(m, F.col("p")).alias(f"_p_{m}") for m in metrics), *(pick(m, F.col("lo") < F.col("hi")).alias(f"_d_{m}") for m in metrics))
     out = xs
     for m in metrics:
         mine = pct.where(F.col("m") == m).select(F.col("x").alias(f"_x_{m}"), F.col("pct").alias(f"_r_{m}"))
@@ -69,7 +83,8 @@ def score(df: DataFrame, metrics: Mapping[str, str], weights: Mapping[str, float
 
 def log_clip_p99(df: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
     """One row: the 99th percentile of each logged metric, exact and interpolated."""
-    return df.agg(*(F.percentile(logged(c), 0.99).alias(m) for m, c in metrics.items()))
+    of = quantiles(percentile_table(_long(df, metrics)), 0.99)
+    return of.agg(*(F.max(F.when(F.col("m") == m, F.col("p"))).alias(m) for m in metrics))
 
 
 def decay(df: DataFrame, created_ms: str, now_ms: int, half_life_days: float = 540.0) -> DataFrame:
