@@ -472,6 +472,12 @@ def word2vec_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.word_vectors(model, counts).select("word", "count", "vector")
 
 
+@_query()
+def word2vec_negative_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, counts = terms.train_word2vec(_catalogue(spark, sf_dir), "payload_title", "payload_description", size=16, window=4, min_count=50, epochs=1, negative=5, sample=1e-3)
+    return terms.word_vectors(model, counts).select("word", "count", "vector")
+
+
 def _sets_sql() -> str:
     steps = [("the", -1), *((t, i) for i, (t, _) in enumerate(RELATED))]
     values = ", ".join(f"({pos}, '{w}')" for t, pos in steps for w in t.split())
