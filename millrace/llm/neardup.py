@@ -1,6 +1,11 @@
-"""Near copies of texts: MinHash bands over five-word shingles, then exact Jaccard similarity.
+"""Near copies of texts: those that op10's operator links, and those of a Jaccard similarity of 0.8.
 
-Two texts link at a Jaccard similarity of min_similarity = 0.8 or more of their sets of WIDTH-word
+The operator of simhash.py comes first: texts whose fingerprints are within max_bits = 2 bits, found by its
+index over byte positions, are linked as they are there. Its two bits reach few of the texts that are similar
+by sets of shingles, so MinHash bands over five-word shingles, then exact Jaccard similarity, add the rest:
+links are added, none is taken away, and groups are the components of both.
+
+In this part two texts link at a Jaccard similarity of min_similarity = 0.8 or more of their sets of WIDTH-word
 shingles (words are cut at ASCII white space, A-Z lower-cased; a shorter text is one shingle). The
 BANDS = 28 bands of ROWS = 6 minima miss a pair at 0.8 with a probability of (1 - 0.8**6)**28, 0.02 %.
 Texts that share a band, directly or through others, are one candidate group; in it every link is found
@@ -28,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Scratch, free_name, trim, utf8
 from .graph import components
 
@@ -66,17 +72,19 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, node, bands; the text stays in the Python worker."""
+    """doc_id, node, fp (as op10's operator has it), bands; the text stays in the Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [band_keys(shingle_hashes(words_of(t.as_py()))) for t in b.column(2)]
+            texts = [t.as_py() for t in b.column(2)]
+            fp = pa.array(np.fromiter(map(simhash.simhash, texts), np.uint64, b.num_rows).view(np.int64))
+            keys = [band_keys(shingle_hashes(words_of(t))) for t in texts]
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * b.num_rows + 1, BANDS, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), bands], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, bands], names=["doc_id", "node", "fp", "bands"])
         trim()
 
-    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), node_column(text).alias("node"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), node_column(text).alias("node"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, bands array<long>")
 
 
 def node_column(text: str) -> Column:
@@ -134,23 +142,34 @@ def linked(left: DataFrame, right: DataFrame, texts: DataFrame, min_similarity:
         nodes = np.concatenate([one.column(3).to_numpy(), other.column(3).to_numpy()]).astype(np.int64)
         least = connected(len(nodes), a, b + len(sets[0]))
         apart = nodes != nodes[least]
-        return pa.table({"u": pa.array(nodes[apart]), "v": pa.array(nodes[least][apart])})
+        found = pa.table({"u": pa.array(nodes[apart]), "v": pa.array(nodes[least][apart])})
+        if len(nodes) >= MEMBERS:  # small tables are many, and leave little
+            del sets
+            trim()
+        return found
 
     one, other = (side.join(texts, "node").select("key", "i", "j", "node", "text") for side in dealt(left, right))
     other = other.toDF("key2", "i2", "j2", "node2", "text2")
     return one.groupBy("key", "i", "j").cogroup(other.groupBy("key2", "i2", "j2")).applyInArrow(compare, "u long, v long")
 
 
-def classes(scratch: Scratch, df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_similarity: float = 0.8) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
+    """nodes: node, fp. Returns u, v: each node of a component of op10's operator, and the component's smallest node."""
+    found = simhash.classes(nodes.select(F.col("node").alias("doc_id"), "fp"), max_bits).select("fp", F.col("component_id").alias("v"))
+    return nodes.join(found, "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+
+
+def classes(scratch: Scratch, df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """node, least (its smallest doc_id), is_first: whether this node stands for its group."""
-    nodes = scratch.keep(prints(df, doc_id, text).groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")))
+    nodes = scratch.keep(prints(df, doc_id, text).groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
+    close = scratch.keep(fingerprint_links(nodes.select("node", "fp"), max_bits))
     postings = nodes.select("node", F.explode("bands").alias("key"))
     heads = postings.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
     postings = scratch.keep(postings.join(heads, "key"))
     asked = postings.select("node").distinct()
     texts = scratch.keep(df.select(node_column(text).alias("node"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
     stars = postings.where("node <> head").select(F.col("head").alias("key"), "node").distinct()
-    near = scratch.keep(linked(stars.select("key", F.col("key").alias("node")).distinct(), stars, texts, min_similarity))
+    near = scratch.keep(linked(stars.select("key", F.col("key").alias("node")).distinct(), stars, texts, min_similarity).unionByName(close))
     # Members that the links so far don't connect with their band's smallest node.
     joined = scratch.keep(components(near))
     of = lambda name, root: joined.select(F.col("node").alias(name), F.col("root").alias(root))
@@ -166,10 +185,10 @@ def classes(scratch: Scratch, df: DataFrame, doc_id: str = "doc_id", text: str =
     return nodes.select("node", "least").join(checked, "node", "left").select("node", "least", F.coalesce("is_first", F.lit(True)).alias("is_first"))
 
 
-def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_similarity: float = 0.8) -> DataFrame:
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """One row of each group, that with the smallest doc_id (null last), with all its columns."""
     scratch = Scratch(df.sparkSession, "near-duplicates")
-    heads = scratch.last(classes(scratch, df, doc_id, text, min_similarity).where("is_first").select(F.col("node").alias("_head")))
+    heads = scratch.last(classes(scratch, df, doc_id, text, min_similarity, max_bits).where("is_first").select(F.col("node").alias("_head")))
     name = free_name("_node", df.columns)
     order = F.struct(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`")))
     rows = df.withColumn(name, node_column(text)).groupBy(name).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("row"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, utf8
+from .common import free_name, materialize, trim, utf8
 from .graph import components
 
 BLOCK = 1 << 16
@@ -134,6 +134,7 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
             yield pairs(n, fp, key, edges)
         if len(rest_fp) > 1:
             yield pairs(rest_n, rest_fp, rest_fp, np.array([0, len(rest_fp)]))
+        trim()
 
     signed = [int(m) for m in masks.view(np.int64)]
     postings = prints.select("fp", F.posexplode(F.array(*(F.lit(m).cast("long") for m in signed))).alias("n", "mask")).select("n", "fp", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))

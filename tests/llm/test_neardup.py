@@ -90,3 +90,22 @@ def test_near_pairs():
 def test_connected():
     a, b = np.array([5, 1, 7, 3]), np.array([3, 5, 8, 2])
     assert neardup.connected(9, a, b).tolist() == [0, 1, 1, 1, 4, 1, 6, 7, 7]
+
+
+def test_pipeline_stage_keeps_the_links_of_op10(spark):
+    """Texts that op10's fingerprints link but sets of shingles don't; a chain goes on through links of the other kind."""
+    import corpus_pipeline
+    from millrace.llm import simhash
+
+    line = [f"r{i}" for i in range(7)] * 400
+    tail = lambda k, n: [f"t{k}x{i}" for i in range(n)]
+    rows = [(1, [*line, *tail(1, 40)]), (2, [*line, *tail(2, 40)]), (3, [*line, *tail(2, 38), "new", "end"]), (4, tail(4, 100)), (5, [*tail(4, 98), "new", "end"]), (6, tail(6, 100))]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    bits = lambda a, b: (simhash.simhash(rows[a][1]) ^ simhash.simhash(rows[b][1])).bit_count()
+    alike = lambda a, b: len((s := shingles(rows[a][1])) & (t := shingles(rows[b][1]))) / len(s | t)
+    assert bits(0, 1) <= 2 and alike(0, 1) < 0.8 and alike(1, 2) >= 0.8 and bits(3, 4) > 2 and alike(3, 4) >= 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 6]
+    component = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert len({component[d] for d in (1, 4, 6)}) == 3
