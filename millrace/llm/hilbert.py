@@ -21,13 +21,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, materialize, unlike
 
 
-#: Categories whose counts the driver cuts exactly; with more, quantiles of their first bytes are the cuts.
+#: Distinct categories that one task orders, on the average; the cuts don't depend on it.
 CATEGORIES = 1 << 16
 
 
@@ -39,21 +39,29 @@ class Dimension:
     kind: str = "number"
 
 
-def category_cuts(df: DataFrame, column: str, cells: int) -> list[str] | None:
-    """The last values of all cells but one, in the order of bytes; None: too many values."""
+def category_cuts(df: DataFrame, column: str, cells: int) -> list[str]:
+    """The last values of all cells but one, in the order of bytes, however many values there are.
+
+    Up to as many values as cells have a cell each. Of more, a value ends a cell if the rows up to it, in
+    shares of 1 / cells, reach a further whole share. Values are counted, ordered by range, and their running
+    counts are two-level; a row a partition and the cuts alone reach the driver.
+    """
     c = F.col(f"`{column}`").cast("string")
-    rows = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n")).limit(CATEGORIES + 1).collect()
-    if len(rows) > CATEGORIES:
-        return None
-    found = sorted(((r["v"], r["n"]) for r in rows), key=lambda r: r[0].encode("utf-8", "surrogatepass"))
-    if len(found) <= cells:
-        return [v for v, _ in found[:-1]]
-    total, run, cuts = sum(n for _, n in found), 0, []
-    for v, n in found:
-        before, run = run, run + n
-        if run * cells // total > before * cells // total and run < total:
-            cuts.append(v)
-    return cuts
+    counts = materialize(df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    many = counts.count()
+    if not many:
+        return []
+    ordered = materialize(counts.repartitionByRange(-(-many // CATEGORIES), "v").select("v", "n", F.spark_partition_id().alias("p")))
+    sizes = sorted((r["p"], r["n"]) for r in ordered.groupBy("p").agg(F.sum("n").alias("n")).collect())
+    total, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, total))
+        total += n
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    runs = ordered.join(F.broadcast(df.sparkSession.createDataFrame(starts, "p int, start long")), "p").select("v", "n", upto.alias("run"))
+    share = lambda run: F.expr(f"({run}) * {cells}L div {total}L")
+    ends = F.lit(many <= cells) | (share("run") > share("run - n"))
+    return [r["v"] for r in runs.where(ends & (F.col("run") < total)).orderBy("run").collect()]
 
 
 def quantise(df: DataFrame, dims: list[Dimension], bits: int) -> list[Column]:
@@ -68,12 +76,8 @@ def quantise(df: DataFrame, dims: list[Dimension], bits: int) -> list[Column]:
     out = []
     for d in dims:
         c = F.col(f"`{d.column}`")
-        if d.kind == "category" and (found := category_cuts(df, d.column, cells)) is not None:
-            cell = sum((F.when(c.cast("string") > v, 1).otherwise(0) for v in found), F.lit(0))
-        elif d.kind == "category":
-            head = F.conv(F.hex(F.rpad(F.substring(c.cast("string").cast("binary"), 1, 6), 6, F.lit(b"\0"))), 16, 10).cast("double")
-            marks = sorted(set(df.agg(F.percentile_approx(head, [i / cells for i in range(1, cells)], 10_000)).first()[0] or []))
-            cell = sum((F.when(head > q, 1).otherwise(0) for q in marks), F.lit(0))
+        if d.kind == "category":
+            cell = sum((F.when(c.cast("string") > v, 1).otherwise(0) for v in category_cuts(df, d.column, cells)), F.lit(0))
         elif d.kind == "raw":
             cell = F.pmod(c.cast("long"), F.lit(cells))
         else:

@@ -163,6 +163,29 @@ def test_hilbert_clashing_columns_and_many_categories(spark, monkeypatch):
         assert by_category == sorted(by_category) and len(set(by_category)) == 16 and done.groupBy("shard").count().where("count = 75").count() == 4
 
 
+def test_hilbert_category_cuts_do_not_depend_on_the_number_of_values(spark, monkeypatch):
+    """Values alike in their first bytes, of unequal counts, by one task and by many."""
+    rng = random.Random(8)
+    values = [f"https://example.org/{k:04d}" for k in range(90)] + ["", "z\u00e9", "\U0001f600", "\uff5e"]
+    rows = [v for v in values for _ in range(rng.choice([1, 2, 3, 60]))] + [None] * 50
+    counts = sorted((v.encode(), rows.count(v)) for v in values)
+    total, run, want = len(rows) - 50, 0, []
+    for v, n in counts:
+        run += n
+        if run * 16 // total > (run - n) * 16 // total and run < total:
+            want.append(v.decode())
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "doc_id long, source string").repartition(5)
+    shards = []
+    for most in (1 << 16, 40, 7, 1):
+        monkeypatch.setattr(hilbert, "CATEGORIES", most)
+        assert hilbert.category_cuts(df, "source", 16) == want
+        shards.append(sorted((r["doc_id"], r["hilbert"], r["shard"], r["slot"]) for r in hilbert.hilbert_shards(df, [hilbert.Dimension("source", "category")], 24, ["doc_id"]).collect()))
+    assert len(want) > 10 and all(s == shards[0] for s in shards)
+    few = df.where("source < 'https://example.org/0012'")
+    assert hilbert.category_cuts(few, "source", 16) == ["", *values[:11]]
+    assert hilbert.category_cuts(df.where("source IS NULL"), "source", 16) == []
+
+
 def test_hilbert_runs_prune(spark):
     df = spark.range(4096).select("id", (F.col("id") % 64).alias("a"), (F.col("id") / 64).cast("long").alias("b"))
     done = hilbert.hilbert_shards(df, [hilbert.Dimension("a"), hilbert.Dimension("b")], 16, ["id"], bits=4)
