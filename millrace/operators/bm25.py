@@ -1,16 +1,22 @@
 """Weighted multi-field BM25 over an inverted index of three tables.
 
 postings (field, term, id, tf), doc_stats (id, length, a length a field) and term_stats (field, term, df).
-A query filters postings by its terms (pushed to the Parquet scan, whose files are sorted by term), joins
+Postings are made and kept as blocks (term, field, ids, tfs): what one run of documents has of a term and field, so
+that a shuffle carries a term once a run, not once a posting, and nothing is sorted by posting.
+A query filters blocks by its terms (pushed to the Parquet scan, whose files are sorted by term), joins
 the few matching terms' statistics as a broadcast bounded by the query, and sums each document's fields
 in one aggregation. Okapi BM25 with the non-negative idf; the statistics cover the whole index, or each field.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +27,9 @@ from ..sources import tables
 FIELDS = ("title", "description", "tags", "parent", "channel")
 # The weights of the fields.
 WEIGHTS = {"title": 3.0, "description": 1.0, "tags": 4.0, "parent": 1.5, "channel": 2.0}
+#: Bytes of tokens in a run of documents, one document at least.
+RUN_BYTES = 16 << 20
+BLOCK = "term string, field string, ids array<bigint>, tfs array<bigint>, df bigint, new bigint, tokens bigint"
 
 
 @dataclass(frozen=True)
@@ -37,6 +46,7 @@ class Index:
     postings: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
+    blocks: DataFrame | None = None
 
 
 def base_table(df: DataFrame, columns: Mapping[str, str] | None = None, limit: int | None = None, id_column: str = "id", **segmenters) -> DataFrame:
@@ -50,11 +60,81 @@ def base_table(df: DataFrame, columns: Mapping[str, str] | None = None, limit: i
 
 
 def build(base: DataFrame) -> Index:
+    """Rows that share an id are one document to postings. The ids are read at once, to see whether there are such rows."""
+    found = blocks(_one_row_an_id(base))
     lists = base.select("id", *(F.filter(F.split(f"{f}_terms", r"\s+"), lambda t: t != "").alias(f) for f in FIELDS))
-    exploded = lists.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in FIELDS))).alias("x")).select("id", "x.field", F.explode("x.terms").alias("term"))
-    postings = exploded.groupBy("term", "id", "field").agg(F.count(F.lit(1)).alias("tf"))
     doc_stats = lists.select("id", *(F.size(f).cast("long").alias(f"len_{f}") for f in FIELDS)).withColumn("length", sum((F.col(f"len_{f}") for f in FIELDS), F.lit(0)))
-    return Index(base, postings, doc_stats, term_statistics(postings))
+    return Index(base, unpacked(found), doc_stats, block_statistics(found), found)
+
+
+def _repeated(ids: DataFrame) -> DataFrame:
+    return ids.groupBy("id").count().where("count > 1").select("id")
+
+
+def _one_row_an_id(base: DataFrame) -> DataFrame:
+    """id and terms; rows that share an id, if there are any, are joined."""
+    names = [f"{f}_terms" for f in FIELDS]
+    rows, again = base.select("id", *names), _repeated(base)
+    if again.isEmpty():
+        return rows
+    shared = rows["id"].eqNullSafe(again["id"])
+    merged = rows.join(again, shared, "left_semi").groupBy("id").agg(*(F.concat_ws(" ", F.collect_list(n)).alias(n) for n in names))
+    return rows.join(again, shared, "left_anti").unionByName(merged)
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of rows of distinct ids: a task's runs of documents, each of which gives a row a term and field.
+
+    df is the number of ids, new the number of those (not null) that have the term in no earlier field, tokens the sum of tfs.
+    """
+    return rows.mapInArrow(_blocks, BLOCK)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:]), np.zeros(batch.num_rows, np.int64))
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + RUN_BYTES, "right")))
+            if (found := _run(batch.slice(at, stop - at))) is not None:
+                yield found
+            at = stop
+
+
+def _run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    words, row, field_no = [], [], []
+    for k, column in enumerate(batch.columns[1:]):
+        lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        flat = lists.flatten()
+        real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        words.append(flat.filter(pa.array(real)))
+        row.append(np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[real])
+        field_no.append(np.full(len(row[-1]), k))
+    encoded = pa.chunked_array(words).combine_chunks().dictionary_encode()
+    code, n, m = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), batch.num_rows, len(FIELDS)
+    if not len(code):
+        return None
+    cells, tf = np.unique((code * n + np.concatenate(row)) * m + np.concatenate(field_no), return_counts=True)
+    pair, which = np.divmod(cells, m)
+    new = np.r_[True, pair[1:] != pair[:-1]] & batch.column(0).is_valid().to_numpy(zero_copy_only=False)[pair % n]
+    group = pair // n * m + which
+    order = np.argsort(group, kind="stable")
+    group, tf = group[order], tf[order].astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    offsets = pa.array(np.r_[starts, len(group)].astype(np.int32))
+    ids = batch.column(0).take(pa.array(pair[order] % n))
+    term, which = np.divmod(group[starts], m)
+    columns = [
+        encoded.dictionary.take(pa.array(term)), pa.array(np.array(FIELDS, object)[which], pa.string()), pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, pa.array(tf)),
+        pa.array(np.diff(np.r_[starts, len(group)])), pa.array(np.add.reduceat(new[order].astype(np.int64), starts)), pa.array(np.add.reduceat(tf, starts)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "field", "ids", "tfs", "df", "new", "tokens"])
+
+
+def unpacked(found: DataFrame) -> DataFrame:
+    """term, id, field, tf: a row a posting."""
+    pairs = found.select("term", "field", F.explode(F.arrays_zip("ids", "tfs")).alias("p"))
+    return pairs.select("term", F.col("p.ids").alias("id"), "field", F.col("p.tfs").alias("tf"))
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -64,21 +144,42 @@ def term_statistics(postings: DataFrame) -> DataFrame:
     return by_field.unionByName(anywhere)
 
 
+def block_statistics(found: DataFrame) -> DataFrame:
+    """term_statistics from the sums of blocks in which no document comes twice."""
+    sums = F.explode(F.array(F.struct("field", "df"), F.struct(F.lit("").alias("field"), F.col("new").alias("df")))).alias("x")
+    return found.select("term", sums).groupBy("x.field", "term").agg(F.sum("x.df").alias("df")).where("df > 0")
+
+
+def term_counts(index: Index) -> DataFrame:
+    """field, term, df, tf of the whole index."""
+    if index.blocks is not None:
+        return index.blocks.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tf"))
+    return index.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
 def save(index: Index, path: str, overwrite: bool = True) -> None:
-    """Postings and term statistics are range-sorted by term, so a query's filter skips row groups.
+    """Blocks lie by term, sorted by it in each file, so a query's filter skips pages and row groups.
 
-    Without overwrite the rows are added to an index that is there, and the statistics are made again from all its postings.
+    The base is written first, a part a call, and the rest is made from what was written, so texts are tokenised once.
+    Without overwrite the part is added to an index that is there, and the statistics are made again from all its blocks.
     """
-    mode = "overwrite" if overwrite else "append"
-    tables.write_parquet(index.base, f"{path}/base", mode)
-    tables.write_parquet(index.postings.repartitionByRange("term").sortWithinPartitions("term", "id"), f"{path}/postings", mode)
-    tables.write_parquet(index.doc_stats, f"{path}/doc_stats", mode)
-    stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
-    tables.write_parquet(term_statistics(stored).repartitionByRange("term").sortWithinPartitions("term"), f"{path}/term_stats", "overwrite")
+    spark, mode = index.base.sparkSession, "overwrite" if overwrite else "append"
+    if overwrite:
+        tables.remove(spark, f"{path}/base")
+    part = f"{path}/base/part=p{uuid.uuid4().hex}"
+    tables.write_parquet(index.base, part)
+    stored = build(spark.read.schema(index.base.schema).parquet(part))
+    tables.write_parquet(stored.blocks.repartition("term").sortWithinPartitions("term", "field"), f"{path}/blocks", mode)
+    tables.write_parquet(stored.doc_stats, f"{path}/doc_stats", mode)
+    found = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
+    # Parts that share ids can't be summed: their documents are counted one by one.
+    stats = block_statistics(found) if overwrite or _repeated(spark.read.parquet(f"{path}/doc_stats")).isEmpty() else term_statistics(unpacked(found))
+    tables.write_parquet(stats.repartitionByRange("term").sortWithinPartitions("term"), f"{path}/term_stats", "overwrite")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("base", "postings", "doc_stats", "term_stats")))
+    base, found, doc_stats, term_stats = (spark.read.parquet(f"{path}/{n}") for n in ("base", "blocks", "doc_stats", "term_stats"))
+    return Index(base.drop("part"), unpacked(found), doc_stats, term_stats, found)
 
 
 def effective_terms(entries: Sequence[str]) -> list[str]:
