@@ -2,9 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from millrace.operators import features
+from millrace.plans import catalogue
 
 
 def test_runs_hold_a_bounded_number_of_keys():
@@ -23,3 +23,8 @@ def test_vectors_do_not_depend_on_runs(spark, monkeypatch):
     whole = read()
     monkeypatch.setattr(features, "KEYS", 7)
     assert read() == whole and len(whole) == 60
+
+
+def test_a_decomposition_reads_texts_once(spark):
+    plan = catalogue.svd_vectors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "/vectors-" in plan
